@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import mixing, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -29,3 +29,12 @@ def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@query
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix at weights 5, 2, 1 takes."""
+    return mixing.mix_sizes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+ORACLES["op2_mix_sources"] = mixing.mix_sql()
