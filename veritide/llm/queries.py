@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash
+from . import bpe, mixing, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -38,3 +39,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_mix_sources"] = mixing.mix_sql()
+
+
+@query
+def op3_bpe_chunks(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Token counts and digests of the ids and the decoded text of every document."""
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
