@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, simhash
+from . import bpe, langid, mixing, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -46,3 +46,17 @@ def op3_bpe_chunks(spark: SparkSession, sf_dir: str, path: str | None = None) ->
     """Token counts and digests of the ids and the decoded text of every document."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
+
+
+def remainder(id_col: str, n: int):
+    """crc32 of an id as text, modulo ``n``; null ids count as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
+
+
+@query
+def op9_langid_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document; a fifth of the ids is held out of training."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(remainder("doc_id", 5) != 0))
+    held_out = (remainder("doc_id", 5) == 0).alias("held_out")
+    return langid.identify(docs.select("doc_id", "text", held_out), model).drop("text")
