@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, simhash
+from . import bpe, langid, mixing, pii, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -60,3 +60,14 @@ def op9_langid_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(remainder("doc_id", 5) != 0))
     held_out = (remainder("doc_id", 5) == 0).alias("held_out")
     return langid.identify(docs.select("doc_id", "text", held_out), model).drop("text")
+
+
+#: Key of the registered queries; a user passes a secret one.
+PSEUDONYM_KEY = "example key of the registered queries"
+
+
+@query
+def op10_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with personal data replaced by pseudonyms, and the kinds found."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PSEUDONYM_KEY, kinds_col="kinds")
