@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, pii, simhash
+from . import bpe, langid, mixing, pii, quality, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -71,3 +71,12 @@ def op10_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with personal data replaced by pseudonyms, and the kinds found."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, PSEUDONYM_KEY, kinds_col="kinds")
+
+
+@query
+def op4_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures of every document, and whether it is kept once its host's shared lines are gone."""
+    return quality.quality(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op4_quality_lines"] = quality.quality_sql()
