@@ -29,7 +29,8 @@ def test_measures():
 
 
 def test_shared_lines_deplete(spark):
-    own = lambda k: " ".join(f"w{k}x{i}" for i in range(90))
+    letters = str.maketrans("0123456789", "abcdefghij")
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(90)).translate(letters)
     line = " ".join(f"Common {i}" for i in range(90))
     rows = [(k, f"{line}\n{own(k)}", "h1", "a") for k in range(15)]  # 15 of 35 texts share the line
     rows += [(k, own(k), "h1", "a") for k in range(15, 35)]
