@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, pii, quality, simhash
+from . import bpe, langid, mixing, pii, quality, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -80,3 +80,14 @@ def op4_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_quality_lines"] = quality.quality_sql()
+
+
+@query
+def op5_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document; a third of the ids is held out of training."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    third = remainder("doc_id", 3)
+    model = toxicity.fit(docs.where(third != 1), labels.where(third != 1))
+    rows = docs.select("doc_id", "text", (third == 1).alias("held_out"))
+    scored = toxicity.score(rows, model)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
