@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, pii, quality, simhash, toxicity
+from . import bpe, embeddings, langid, mixing, pii, quality, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -91,3 +91,25 @@ def op5_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", "text", (third == 1).alias("held_out"))
     scored = toxicity.score(rows, model)
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op8_embedding_ego(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.95 or more among all vectors, and the components they make."""
+    groups = embeddings.embedding_groups(table(spark, sf_dir, "embeddings"))
+    return groups.withColumnsRenamed({"id": "vec_id", "component": "component_id"})
+
+
+ORACLES["op8_embedding_ego"] = """
+with recursive e as (select vec_id, embedding::double[] as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+u as (select vec_id, v, sqrt(list_dot_product(v, v)) as n from e where list_dot_product(v, v) > 0),
+l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id
+  and list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.95),
+r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) as low from r group by a),
+k as (select a, count(*) as n from l group by a)
+select vec_id, coalesce(k.n, 0)::bigint as n_links, least(vec_id, coalesce(low, vec_id)) as component_id,
+  vec_id = least(vec_id, coalesce(low, vec_id)) as kept
+from embeddings left join c on vec_id = c.a left join k on vec_id = k.a
+"""
