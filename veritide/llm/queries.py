@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, langid, mixing, pii, quality, simhash, toxicity
+from . import bpe, embeddings, langid, lm, mixing, pii, quality, simhash, substrings, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -113,3 +113,34 @@ select vec_id, coalesce(k.n, 0)::bigint as n_links, least(vec_id, coalesce(low,
   vec_id = least(vec_id, coalesce(low, vec_id)) as kept
 from embeddings left join c on vec_id = c.a left join k on vec_id = k.a
 """
+
+
+@query
+def op6_substring_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier one holds."""
+    return substrings.repeated_passages(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op7_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's stupid-backoff score under word pairs of the whole corpus."""
+    return lm.lm_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op7_lm_backoff"] = """
+with d as (select row_number() over () as uid, doc_id,
+  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+p as (select uid, unnest(range(1, len(w) + 1)) as i, w from d),
+o as (select uid, i, w[i] as word from p),
+n as (select count(*) as total from o),
+v as (select word, count(*) as c from o group by word),
+k as (select word, case when c > 1 and c >= total / 1048576.0 then word else '' end as id, c from v, n),
+u as (select id, sum(c) as c from k group by id),
+t as (select uid, i, id, lag(id) over (partition by uid order by i) as before from o join k using (word)),
+b as (select before, id, count(*) as c from t where before is not null group by before, id),
+s as (select t.uid, ln(case when t.before is null then u.c / n.total
+    when b.c >= 2 then b.c / f.c else 0.4 * u.c / n.total end) as x
+  from t join u on t.id = u.id left join u f on t.before = f.id left join b on t.before = b.before and t.id = b.id, n)
+select doc_id, len(w)::bigint as n_words, coalesce(sum(x), 0) as log_sum, sum(x) / len(w) / ln(10) as mean_log10
+from d left join s using (uid) group by uid, doc_id, w
+"""
