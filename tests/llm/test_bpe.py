@@ -32,10 +32,13 @@ def test_edge_rows(spark):
     base = "".join(rng.choice(["ab", " ", "  ", "\n", "é", "<|endoftext|>", "x1", " the", "　", "\xa0", "'s", "!"]) for _ in range(20_000))
     odd += [base, base, base[:9000] + "Q" + base[9000:], base[500:], "head " + base]
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(odd)] + [(None, "x", 2), (0, "", 3)], "doc_id long, text string, uid int")
-    got = sorted([tuple(r) for r in bpe.bpe_digests(docs, PATH).collect()], key=lambda r: (r[0] is None, r[0] or 0))
+    got = sorted([tuple(r) for r in bpe.bpe_encode(docs, PATH, keep_ids=False).collect()], key=lambda r: (r[0] is None, r[0] or 0))
     want = [(0, *plain([""])[0]), *[(k, *w) for k, w in enumerate(plain(odd))], (None, *plain(["x"])[0])]
     assert got == want
-    assert bpe.bpe_digests(docs.limit(0), PATH).count() == 0
+    back = bpe.bpe_decode(bpe.bpe_encode(docs, PATH), PATH).collect()
+    assert sorted((r.id is None, r.id or 0, r.text) for r in back) == sorted([*((False, k, t or "") for k, t in enumerate(odd)), (True, 0, "x"), (False, 0, "")])
+    assert all(len(r.ids) == r.n_tokens for r in back)
+    assert bpe.bpe_encode(docs.limit(0), PATH).count() == 0
 
 
 def test_join_of_any_chunks():

@@ -158,11 +158,17 @@ def _digest(chunk: bytes) -> int:
 
 
 #: Columns of a part of a text: (kind 0) encoded, or (kind 1) a chunk known by its key.
+NOTHING = (None,) * 4
+DONE = "tokens long, ids_sha string, text_sha string, all_ids array<int>"
 PART = "uid long, n long, seq int, kind int, key binary, chunk binary, head string, ids binary, tail string"
 
 
-def encoded_parts(docs: DataFrame, id_col: str, text_col: str, path: str) -> tuple[DataFrame, DataFrame]:
-    """(``uid, c0`` = id, ``done`` digests of texts that share no chunk; parts of the others)."""
+def _row(c: Codec, ids: list[int], keep_ids: bool) -> tuple:
+    return (*c.digests(ids), np.array(ids, np.int32) if keep_ids else None)
+
+
+def encoded_parts(docs: DataFrame, id_col: str, text_col: str, path: str, keep_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """(ids and digests of the texts that share no chunk; parts of the others)."""
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -173,7 +179,7 @@ def encoded_parts(docs: DataFrame, id_col: str, text_col: str, path: str) -> tup
     shared = rows.select("c1").mapInPandas(digests, "digest long").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
     known = docs.sparkSession.sparkContext.broadcast(shared_filter(shared.select("digest")))
     id_type = rows.schema["c0"].dataType.simpleString()
-    schema = f"{PART}, c0 {id_type}, tokens long, ids_sha string, text_sha string"
+    schema = f"{PART}, c0 {id_type}, {DONE}"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,7 +191,7 @@ def encoded_parts(docs: DataFrame, id_col: str, text_col: str, path: str) -> tup
                 chunks = chunk_texts(text)
                 hit = _in_filter(known.value, np.array([_digest(k) for k in chunks], np.uint64)) if chunks else np.zeros(0, bool)
                 if not hit.any():
-                    out.append((uid, 0, -1, 2, None, None, None, None, None, own, *c.digests(c.encode(text))))
+                    out.append((uid, 0, -1, 2, None, None, None, None, None, own, *_row(c, c.encode(text), keep_ids)))
                 else:
                     seq, at = 0, 0
                     while at < len(chunks):
@@ -194,10 +200,10 @@ def encoded_parts(docs: DataFrame, id_col: str, text_col: str, path: str) -> tup
                             upto += 1
                         if hit[at]:
                             key = xxhash.xxh3_128_digest(chunks[at])
-                            out.append((uid, 0, seq, 1, key, chunks[at], None, None, None, own, None, None, None))
+                            out.append((uid, 0, seq, 1, key, chunks[at], None, None, None, own, *NOTHING))
                         else:
                             head, ids, tail = encode_part(c, b"".join(chunks[at:upto]).decode("utf-8", "surrogatepass"))
-                            out.append((uid, 0, seq, 0, None, None, head, ids, tail, own, None, None, None))
+                            out.append((uid, 0, seq, 0, None, None, head, ids, tail, own, *NOTHING))
                         seq, at = seq + 1, upto
                     out[-seq:] = [(r[0], seq, *r[2:]) for r in out[-seq:]]
                 held += len(text)
@@ -212,8 +218,10 @@ def encoded_parts(docs: DataFrame, id_col: str, text_col: str, path: str) -> tup
     return parts.where("kind = 2"), parts.where("kind < 2")
 
 
-def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_tokens, ids_sha256, decoded_sha256`` of every row of ``docs``.
+def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+    """``id, n_tokens, ids_sha256, decoded_sha256`` and the token ``ids`` of every row of ``docs``.
+
+    ``path`` is a byte-level BPE vocabulary file; ``keep_ids`` false leaves the ids out.
 
     Texts are cut into content-defined chunks; those that several documents hold are encoded
     once and joined to each place by digest, the rest are encoded where they are. Seams are then
@@ -229,7 +237,7 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             got = [encode_part(c, k.decode("utf-8", "surrogatepass")) for k in pdf["chunk"]]
             yield pd.DataFrame({"key": pdf["key"], "head": [g[0] for g in got], "ids": [g[1] for g in got], "tail": [g[2] for g in got]})
 
-    done, parts = encoded_parts(docs, id_col, text_col, path)
+    done, parts = encoded_parts(docs, id_col, text_col, path, keep_ids)
     chunks = parts.where("kind = 1").groupBy("key").agg(F.first("chunk").alias("chunk"))
     encoded = stage(chunks.mapInPandas(once, "key binary, head string, ids binary, tail string"))
     kept = ["uid", "n", "seq", "c0", "head", "ids", "tail"]
@@ -245,11 +253,26 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                     joiner = Joiner(c)
                 joiner.add(head or "", ids or b"", tail or "")
                 if seq == n - 1:
-                    out.append((own, *c.digests(joiner.finish())))
-            yield pd.DataFrame(out, columns=["c0", "tokens", "ids_sha", "text_sha"])
+                    out.append((own, *_row(c, joiner.finish(), keep_ids)))
+            yield pd.DataFrame(out, columns=["c0", "tokens", "ids_sha", "text_sha", "all_ids"])
             out = []
 
-    result = f"c0 {id_type}, tokens long, ids_sha string, text_sha string"
+    result = f"c0 {id_type}, {DONE}"
     whole = every.repartition("uid").sortWithinPartitions("uid", "seq").mapInPandas(join, result)
-    both = whole.unionByName(done.select("c0", "tokens", "ids_sha", "text_sha"))
-    return both.select(F.col("c0").alias("id"), F.col("tokens").alias("n_tokens"), F.col("ids_sha").alias("ids_sha256"), F.col("text_sha").alias("decoded_sha256"))
+    both = whole.unionByName(done.select("c0", "tokens", "ids_sha", "text_sha", "all_ids"))
+    names = {"c0": "id", "tokens": "n_tokens", "ids_sha": "ids_sha256", "text_sha": "decoded_sha256", "all_ids": "ids"}
+    out = both.withColumnsRenamed(names)
+    return out if keep_ids else out.drop("ids")
+
+
+def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_out: str = "text") -> DataFrame:
+    """``encoded`` with the text of its token ids in a new column; null ids give a null text."""
+    if text_out.lower() in {c.lower() for c in encoded.columns}:
+        raise ValueError(f"{text_out} is a column already")
+
+    @F.pandas_udf("string")
+    def text(ids: pd.Series) -> pd.Series:
+        c = codec(path)
+        return pd.Series([None if i is None else c.decode(list(i)) for i in ids], dtype=object)
+
+    return encoded.withColumn(text_out, text(column(encoded, ids_col)))

@@ -45,7 +45,7 @@ ORACLES["op2_mix_sources"] = mixing.mix_sql()
 def op3_bpe_chunks(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Token counts and digests of the ids and the decoded text of every document."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.bpe_digests(table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
+    return bpe.bpe_encode(table(spark, sf_dir, "documents"), path, keep_ids=False).withColumnRenamed("id", "doc_id")
 
 
 def remainder(id_col: str, n: int):
