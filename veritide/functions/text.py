@@ -16,6 +16,10 @@ SEASON_WORDS = {"DJF": "winter", "MAM": "spring", "JJA": "summer", "SON": "fall"
 VARIABLE_WORDS = {"max": "Highs", "min": "Lows"}
 
 
+def _matches(pattern: str):
+    return lambda word: word.rlike(pattern)
+
+
 def remark_groups(report: Column | str) -> dict[str, Column]:
     """The six-hour maximum and minimum (°F) that a report's remarks carry, and whether either is ambiguous.
 
@@ -27,7 +31,7 @@ def remark_groups(report: Column | str) -> dict[str, Column]:
     remarks = F.when(at > 0, F.slice(words, at.cast("int") + 1, F.size(words)))
     out = {}
     for name, lead in (("max", "1"), ("min", "2")):
-        got = F.array_distinct(F.filter(remarks, lambda w, lead=lead: w.rlike(f"^{lead}[01][0-9]{{3}}$")))
+        got = F.array_distinct(F.filter(remarks, _matches(f"^{lead}[01][0-9]{{3}}$")))
         one = F.when(F.size(got) == 1, F.element_at(got, 1))
         sign = F.when(F.substring(one, 2, 1) == "1", -1.0).otherwise(1.0)
         out[f"{name}_6h_f"] = fahrenheit(sign * F.substring(one, 3, 3).cast("double") / 10.0)

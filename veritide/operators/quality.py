@@ -40,7 +40,7 @@ def gap_reasons(gaps: DataFrame, by: Sequence[str] = ("station",), reasons: Sequ
     """Gaps by reason, days not de-duplicated; with ``reasons``, one column for each of them."""
     if reasons is None:
         return gaps.groupBy(*by, "reason").agg(F.count("*").alias("n"))
-    return gaps.groupBy(*by).pivot("reason", list(reasons)).agg(F.count("*")).fillna(0)
+    return gaps.groupBy(*by).pivot("reason", list(reasons)).agg(F.count(F.lit(1))).fillna(0)
 
 
 def over_threshold(gaps: DataFrame, stations: DataFrame, lo: str, hi: str, t: float = 0.10) -> DataFrame:

@@ -48,6 +48,10 @@ def upper_median(df: DataFrame, group: Sequence[str], value: str, tie: str) -> D
     return df.withColumn("place", place).withColumn("n", n).where(F.col("place") == F.floor(F.col("n") / 2)).drop("place", "n")
 
 
+def _less(factor):
+    return lambda a, b: a - factor * b
+
+
 def ar_fit(df: DataFrame, group: Sequence[str], order: str, value: str, max_p: int = 7) -> DataFrame:
     """``group, p, phi, sigma2, mean``: autoregressions by Yule-Walker, the order by AIC (ties: lower).
 
@@ -59,7 +63,7 @@ def ar_fit(df: DataFrame, group: Sequence[str], order: str, value: str, max_p: i
         back = F.array(*[F.col(f"g{k - 1 - i}") for i in range(k - 1)]) if k > 1 else F.array().cast("array<double>")
         dot = F.aggregate(F.zip_with(f"phi{k - 1}", back, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
         got = got.withColumn(f"r{k}", (F.col(f"g{k}") - dot) / F.when(F.col(f"s{k - 1}") != 0, F.col(f"s{k - 1}")))
-        turned = F.zip_with(f"phi{k - 1}", F.reverse(f"phi{k - 1}"), lambda a, b, k=k: a - F.col(f"r{k}") * b)
+        turned = F.zip_with(f"phi{k - 1}", F.reverse(f"phi{k - 1}"), _less(F.col(f"r{k}")))
         got = got.withColumn(f"phi{k}", F.concat(turned, F.array(f"r{k}"))).withColumn(f"s{k}", F.col(f"s{k - 1}") * (1 - F.col(f"r{k}") * F.col(f"r{k}")))
     each = [F.struct((F.col("n") * F.log(f"s{p}") + 2 * p).alias("aic"), F.lit(p).alias("p"), F.col(f"phi{p}").alias("phi"), F.col(f"s{p}").alias("sigma2")) for p in range(max_p + 1)]
     fits = F.filter(F.array(*each), lambda f: (f["p"] < F.col("n")) & f["aic"].isNotNull())

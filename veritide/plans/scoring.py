@@ -222,8 +222,9 @@ def walk_forward_baseline(spark, sf):
 
 @query(None)
 def gbt_challenger(spark, sf):
-    last = fx.pairs(spark, sf).agg(F.max("run_date").alias("d")).first()[0]  # refits of the last two months
-    first = last.replace(day=1)
+    last = fx.pairs(spark, sf).agg(F.max("run_date").alias("d")).first()[0]  # refits of the last three months
+    months = last.year * 12 + last.month - 3
+    first = last.replace(year=months // 12, month=months % 12 + 1, day=1)
     got = models.walk_forward(_cents(spark, sf), models.GbtCorrector(min_rows=500, trees=5, depth=3), str(first), str(last))
     return got.select(*fact.KEY, "forecast", "retrained_on", "fallback")
 
