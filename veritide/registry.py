@@ -8,6 +8,8 @@ from importlib import import_module
 
 from pyspark.sql import types as T
 
+from veritide.shipping import ship
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,6 +24,7 @@ def query(sql: str | None, dates: Sequence[str] = ()):
     def keep(f: Callable) -> Callable:
         @wraps(f)
         def run(spark, sf_dir):
+            ship(spark)
             df = f(spark, sf_dir)
             return df.withColumns({c.name: df[c.name].cast("string") for c in df.schema if isinstance(c.dataType, T.DateType)})
 
