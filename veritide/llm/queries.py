@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritide.shipping import ship
+
 from . import bpe, embeddings, langid, lm, mixing, pii, quality, simhash, substrings, toxicity
 
 QUERIES: dict = {}
@@ -13,8 +17,13 @@ ORACLES: dict = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str, *args, **options) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir, *args, **options)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
