@@ -63,7 +63,7 @@ def scorecard(log: DataFrame, pairs: DataFrame, days: int = 30, by_station: bool
 def rounded(value: str, digits: int, keep_sign):
     """``value`` rounded; where ``keep_sign`` holds it may not reach or cross zero."""
     v = F.col(value)
-    r, least = F.round(v, digits), F.lit(10.0**-digits)
+    r, least = F.round(v, digits) + 0.0, F.lit(10.0**-digits)  # no negative zero
     fixed = F.when((v > 0) & (r <= 0), least).when((v < 0) & (r >= 0), -least).otherwise(r)
     return F.when(keep_sign, fixed).otherwise(r)
 

@@ -325,14 +325,14 @@ def claims_under_floors(spark, sf):
 
 
 @query("with " + _CITY + """, w as (select station, variable, lead_day, season, bias / 1e9 as bias, (bias - 2000000.0) / 1e9 as lo, (bias + 2000000.0) / 1e9 as hi, not no_detectable_bias as k from ci),
-r as (select *, round(bias, 2) as rb, round(lo, 2) as rl, round(hi, 2) as rh from w),
+r as (select *, round(bias, 2) + 0.0 as rb, round(lo, 2) + 0.0 as rl, round(hi, 2) + 0.0 as rh from w),
 s as (select station, variable, lead_day, season, case when k and bias > 0 and rb <= 0 then 0.01 when k and bias < 0 and rb >= 0 then -0.01 else rb end as b,
   case when k and lo > 0 and rl <= 0 then 0.01 when k and lo < 0 and rl >= 0 then -0.01 else rl end as l, case when k and hi > 0 and rh <= 0 then 0.01 when k and hi < 0 and rh >= 0 then -0.01 else rh end as h from r)
-select station, variable, lead_day, season, round(least(greatest(b, l), h), 2) as bias, round(l, 2) as bias_lo, round(h, 2) as bias_hi from s""")
+select station, variable, lead_day, season, round(least(greatest(b, l), h), 2) + 0.0 as bias, round(l, 2) + 0.0 as bias_lo, round(h, 2) + 0.0 as bias_hi from s""")
 def rounded_intervals(spark, sf):
     st = _city(spark, sf).withColumns({c: F.col(c) / 1e9 for c in ("bias", "bias_lo", "bias_hi")})
     got = report.round_interval(st, "bias", "bias_lo", "bias_hi", ~F.col("no_detectable_bias"))
-    return got.select("station", "variable", "lead_day", "season", *[F.round(c, 2).alias(c) for c in ("bias", "bias_lo", "bias_hi")])
+    return got.select("station", "variable", "lead_day", "season", *[(F.round(c, 2) + 0.0).alias(c) for c in ("bias", "bias_lo", "bias_hi")])
 
 
 @query("with " + _CITY + " select station, count(*) as n_stats from ci group by station")
