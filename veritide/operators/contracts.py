@@ -49,3 +49,17 @@ def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that only one of two tables holds, with the side that has them."""
     x, y = a.select(keys).distinct(), b.select(keys).distinct()
     return x.join(y, keys, "left_anti").withColumn("side", F.lit("left")).unionByName(y.join(x, keys, "left_anti").withColumn("side", F.lit("right")))
+
+
+def check_contract(docs: DataFrame, schema: str, text: str = "document", rules: list[tuple[str, Column]] = ()) -> DataFrame:
+    """``rule, n`` for JSON texts that do not parse as ``schema``, lack a field of it or break a rule.
+
+    Rules see the parsed document as column ``doc``; a field that is missing or null at the top
+    level counts as lacking.
+    """
+    parsed = F.from_json(text, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    df = docs.select(parsed.alias("doc"))
+    fields = [f.name for f in df.schema["doc"].dataType if f.name != "_corrupt"]
+    broken = F.col("doc").isNull() | F.col("doc._corrupt").isNotNull()
+    lacking = [(f"{name} is missing", ~broken & F.col(f"doc.{name}").isNull()) for name in fields]
+    return violations(df, [("not a document", broken), *lacking, *[(n, ~broken & c) for n, c in rules]])

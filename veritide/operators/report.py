@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from veritide.functions.calendar import is_finite
 from veritide.functions.text import SEASON_WORDS, VARIABLE_WORDS
 
+from veritide.sources.sinks import write_documents, write_manifest
+
 from .fact import KEY
+from .log import assert_immutable, head_hash, read_log
 from .score import score
 
 SOURCES = ["raw_nbm", "baseline", "challenger"]
@@ -138,3 +141,29 @@ def claims_under_floors(stats: DataFrame, floors: tuple[int, int]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def export(spark, out: str, facts: DataFrame, pairs: DataFrame, log_path: str, generated_at: str, days: int = 30, **options) -> None:
+    """All published documents under ``out``: manifest, index, a document per station, scorecards.
+
+    Refuses a log that does not verify and numbers that are not finite. Scores are rounded after
+    their flags are set.
+    """
+    assert_immutable(spark, log_path)
+    stats = score(facts.where("source = 'raw_nbm'"), ["station", "variable", "lead_day", "season"], **options)
+    stats = stats.drop("source", "skill", "skill_lo", "skill_hi")
+    stats = stats.persist()
+    try:
+        shown = round_interval(stats, "bias", "bias_lo", "bias_hi", ~F.col("no_detectable_bias"))
+        shown = shown.withColumns({c: F.round(c, 2) for c in ("mae", "mae_lo", "mae_hi")})
+        write_documents(station_documents(shown), f"{out}/stations")
+        miss = typical_miss(stats).groupBy("station").pivot("variable", ["max", "min"]).agg(F.round(F.first("mae"), 2))
+        index = city_summary(stats).join(miss, "station", "left").select("station", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))
+        write_documents(index, f"{out}/index")
+        rows, _ = read_log(spark, log_path)
+        card = round_scores(scorecard(rows, pairs, days, **options))
+        card.coalesce(1).write.mode("overwrite").json(f"{out}/scorecard")
+        last = pairs.where("scorable").agg(F.max("target_date")).first()[0]
+        write_manifest(spark, f"{out}/manifest", generated_at=generated_at, data_through=str(last), log_head=head_hash(spark, log_path), version=1)
+    finally:
+        stats.unpersist()
