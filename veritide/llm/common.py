@@ -67,7 +67,3 @@ def keyed_rows(df: DataFrame, *cols: str) -> DataFrame:
     picked = df.select(*[column(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
     return picked.select(F.monotonically_increasing_id().alias("uid"), "*")
 
-
-def rows_of(df: DataFrame) -> int:
-    """The number of rows of ``df``."""
-    return df.count()
