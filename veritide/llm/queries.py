@@ -133,7 +133,9 @@ def op6_substring_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's stupid-backoff score under word pairs of the whole corpus."""
-    return lm.lm_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    scores = lm.lm_scores(table(spark, sf_dir, "documents"))
+    # sums of logarithms depend on their order in the last digits
+    return scores.select(F.col("id").alias("doc_id"), "n_words", F.round("log_sum", 6).alias("log_sum"), F.round("mean_log10", 6).alias("mean_log10"))
 
 
 ORACLES["op7_lm_backoff"] = """
@@ -150,6 +152,6 @@ b as (select before, id, count(*) as c from t where before is not null group by
 s as (select t.uid, ln(case when t.before is null then u.c / n.total
     when b.c >= 2 then b.c / f.c else 0.4 * u.c / n.total end) as x
   from t join u on t.id = u.id left join u f on t.before = f.id left join b on t.before = b.before and t.id = b.id, n)
-select doc_id, len(w)::bigint as n_words, coalesce(sum(x), 0) as log_sum, sum(x) / len(w) / ln(10) as mean_log10
+select doc_id, len(w)::bigint as n_words, round(coalesce(sum(x), 0), 6) as log_sum, round(sum(x) / len(w) / ln(10), 6) as mean_log10
 from d left join s using (uid) group by uid, doc_id, w
 """
