@@ -141,10 +141,14 @@ def shared_filter(shared: DataFrame) -> np.ndarray:
             at = np.unique(_places(pdf["digest"].to_numpy().view(np.uint64)).ravel())
             yield pd.DataFrame({"word": at >> 5, "mask": np.int64(1) << (at & 31)})
 
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"word": [pdf["word"].to_numpy(np.int32).tobytes()], "mask": [pdf["mask"].to_numpy(np.int64).astype(np.uint32).tobytes()]})
+
     words = shared.mapInPandas(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    got = words.toPandas()  # FILTER_BITS / 32 rows at most
     out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[got["word"].to_numpy()] = got["mask"].to_numpy().astype(np.uint32)
+    for r in words.mapInPandas(pack, "word binary, mask binary").collect():  # FILTER_BITS / 4 bytes at most, in a few rows
+        out[np.frombuffer(r.word, np.int32)] = np.frombuffer(r.mask, np.uint32)
     return out
 
 
