@@ -1,0 +1,64 @@
+from collections import defaultdict
+
+import corpus_pipeline
+import numpy as np
+
+from veritide.llm import minhash, simhash
+
+SF = "/root/testdata/sf0.01"
+
+
+def plain_set(text, width=5):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def plain_kept(rows, least=0.8):
+    """Ids that stay and the links, over every pair of texts that share a shingle."""
+    sets = {d: plain_set(t) for d, t in rows}
+    holders, label = defaultdict(list), {d: d for d in sets}
+    for d, s in sets.items():
+        for x in s or {None}:
+            holders[x].append(d)
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    links = 0
+    for pair in {(a, b) for own in holders.values() for a in own for b in own if a < b}:
+        a, b = sets[pair[0]], sets[pair[1]]
+        if a == b or len(a & b) >= least * len(a | b):
+            links += a != b
+            low, high = sorted(map(find, pair))
+            label[high] = low
+    return {d for d in sets if find(d) == d}, links
+
+
+def test_stage_matches_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = [r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF).collect()]
+    want, links = plain_kept([(r.doc_id, r.text) for r in docs.collect()])
+    assert links > 0 and sorted(got) == sorted(want)
+
+
+def test_near_copies_beyond_four_bits_go(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in rng.integers(0, 5000, 60)]
+    other = [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in range(60)]
+    prints = simhash.fingerprints([" ".join(base), *other])
+    far = [t for t, p in zip(other, prints[1:], strict=True) if np.bitwise_count(p ^ prints[0]) > 4 and minhash.similarity(minhash.shingle_set(t), minhash.shingle_set(" ".join(base))) >= 0.8]
+    half = " ".join(base[:40] + [f"x{k}" for k in range(20)])
+    rows = [(9, " ".join(base), "a"), (3, far[0], "b"), (4, half, "c"), (5, None, "d"), (6, " ", "e"), (None, far[0], "f"), (7, "one", "g"), (7, "one", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, H string")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in kept) == [3, 4, 5, 7]
+    assert dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs.limit(0), SF).count() == 0
+
+
+def test_large_bucket_is_linked(spark):
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join([*base[:k], f"own{k}", *base[k + 1 :]]), "a") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert [r.doc_id for r in minhash.near_copy_dedup(docs).collect()] == [0]

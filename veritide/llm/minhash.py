@@ -1,0 +1,112 @@
+"""Near copies by the Jaccard similarity of word shingles: MinHash candidates, exact verification."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import column, stage
+from .simhash import _shingles, groups_by_links, keep_first
+
+#: Two sets of similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS: 0.9996 at 0.8.
+BANDS, ROWS = 20, 5
+
+#: Members of a band's bucket that are all compared with each other.
+BLOCK_TEXTS = 8
+
+#: Shingle hashes that are permuted at a time.
+STEP = 2048
+
+_multiply, _add, _join = np.random.default_rng(20).integers(0, 1 << 64, (3, BANDS * ROWS), np.uint64)
+_multiply |= np.uint64(1)
+_join |= np.uint64(1)
+
+
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the shingles of a text."""
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, _shingles(text, width)), np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of the MinHash signature; an empty set has keys of its own."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), STEP):
+        np.minimum(low, (_multiply[:, None] * hashes[at : at + STEP] + _add[:, None]).min(axis=1), out=low)
+    return (low * _join).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sorted distinct arrays; that of two empty ones is 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def _candidates(keyed: DataFrame) -> DataFrame:
+    """``u, v``: for each member of a bucket the smallest one, and others of its block.
+
+    ``keyed`` has columns ``h, key``, distinct. A bucket is cut at random, another way for each
+    band, into blocks of ``BLOCK_TEXTS`` or so, so that pairs grow in proportion to its size; a
+    bucket of up to ``BLOCK_TEXTS`` members is compared whole.
+    """
+    sizes = stage(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("low")).where("n > 1"))
+    members = stage(keyed.join(sizes, "key"))
+    star = members.where("h <> low").select(F.col("low").alias("u"), F.col("h").alias("v"))
+    block = F.pmod(F.xxhash64("h", "key"), F.ceil(F.col("n") / BLOCK_TEXTS)).alias("block")
+    blocks = members.select("key", block, "h").groupBy("key", "block").agg(F.collect_list("h").alias("hs"))
+    blocks = blocks.select("hs", F.explode("hs").alias("u"))
+    near = blocks.select("u", F.explode(F.filter("hs", lambda x: x > F.col("u"))).alias("v"))
+    return stage(star.unionByName(near).distinct())
+
+
+def near_copy_links(docs: DataFrame, text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """``u, v``: text hashes of pairs of different texts with a Jaccard similarity of ``least`` or more.
+
+    Every pair is verified on the whole shingle sets. ``docs`` must give the same rows in the
+    same partitions each time it is evaluated, as stored tables do.
+    """
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.drop_duplicates("h")
+            found = [band_keys(shingle_set(t, width)) for t in pdf["text"]]
+            yield pd.DataFrame({"h": np.repeat(pdf["h"].to_numpy(np.int64), BANDS), "key": np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64)})
+
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"h": pdf["h"], "hashes": [shingle_set(t, width).tobytes() for t in pdf["text"]]})
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = zip(pdf["a"], pdf["b"], strict=True)
+            near = [similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= least for a, b in sets]
+            yield pdf.loc[np.array(near, bool), ["u", "v"]]
+
+    text = column(docs, text_col)
+    texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.xxhash64(text).alias("h"), text.alias("text"))
+    keyed = stage(texts.select("h", "text").mapInPandas(keys, "h long, key long").distinct())
+    pairs = _candidates(keyed)
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
+    # one row of each text that has a candidate
+    need = stage(texts.groupBy("h").agg(F.min("uid").alias("uid")).join(nodes, "h", "left_semi").select("uid"))
+    sets = stage(texts.join(need, "uid", "left_semi").select("h", "text").mapInPandas(sets_of, "h long, hashes binary"))
+    both = pairs.join(sets.select(F.col("h").alias("u"), F.col("hashes").alias("a")), "u")
+    both = both.join(sets.select(F.col("h").alias("v"), F.col("hashes").alias("b")), "v")
+    return stage(both.select("u", "v", "a", "b").mapInPandas(verify, "u long, v long"))
+
+
+def near_copy_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near copies: the one with the smallest id.
+
+    Texts are lower-cased in A-Z and split at ASCII white space; those of which the ``width``-word
+    shingles have a Jaccard similarity of ``least`` or more are linked, and links make groups.
+    All columns stay; ties, nulls and texts without words are as in ``simhash_dedup``.
+    """
+    hashed = F.xxhash64(column(docs, text_col))
+    rows = stage(docs.select(column(docs, id_col).alias("id"), hashed.alias("text_hash"), hashed.alias("fingerprint")))
+    links = near_copy_links(docs, text_col, width, least)
+    return keep_first(docs, stage(groups_by_links(rows, lambda prints: links)), id_col, text_col)

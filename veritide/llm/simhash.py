@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -216,8 +216,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int,
     picked = docs.select(column(docs, id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     id_type = picked.schema["id"].dataType.simpleString()
     rows = stage(picked.mapInPandas(measure, f"id {id_type}, text_hash long, fingerprint long"))
+    return groups_by_links(rows, lambda prints: link_fingerprints(prints, radius, bands))
+
+
+def groups_by_links(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` (``id, text_hash, fingerprint``) with ``root`` and ``component``; ``link`` makes links of the distinct ``fp``."""
     prints = stage(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("id").alias("low")))
-    of = connected(link_fingerprints(prints.select("fp"), radius, bands))
+    of = connected(link(prints.select("fp")))
     # the group of a fingerprint: itself, or the smallest fingerprint that it reaches
     member = prints.join(of.withColumnRenamed("node", "fp"), "fp", "left")
     member = stage(member.select("fp", "low", F.coalesce("component", "fp").alias("root")))
@@ -244,7 +249,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     All columns stay. Among rows with that id the smallest text hash decides, and of rows that
     agree in both one stays. A null id comes after all others.
     """
-    rows = stage(_grouped(docs, id_col, text_col, width, seed, radius, bands))
+    return keep_first(docs, stage(_grouped(docs, id_col, text_col, width, seed, radius, bands)), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of ``docs`` that stays for each ``root`` of ``rows``, as :func:`simhash_dedup` says."""
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first")
     id_name, hash_name = fresh(docs, "kept_id", "kept_hash")
     keep = rows.groupBy("root").agg(first).select(F.col("first.id").alias(id_name), F.col("first.text_hash").alias(hash_name))
