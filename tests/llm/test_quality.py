@@ -44,3 +44,13 @@ def test_shared_lines_deplete(spark):
     assert all(kept[k] for k in [*range(35), 99, 98, 96]) and not any(kept[k] for k in (35, 36, 97, None))
     assert {r.id: r.left_words for r in got}[3] == 90
     assert quality.quality(docs.limit(0)).count() == 0
+
+
+def test_limit_does_not_rise_with_the_host(spark):
+    own = lambda k: " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90))
+    line = " ".join(f"Common {i}" for i in range(90))
+    rows = [(k, f"{line}\n{own(k)}" if k < 11 else own(k), "h") for k in range(400)]  # with the last one, 12 of 401 texts share the line
+    rows.append((400, line + "\nshort end", "h"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.id: (r.left_words, r.kept) for r in quality.quality(docs).collect()}
+    assert got[400] == (2, False) and got[3] == (90, True)

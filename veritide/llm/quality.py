@@ -69,12 +69,12 @@ def measure(text: str | None) -> tuple:
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float = 0.05, min_docs: int = 10, min_words: int = 50, min_left: float = 0.3) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, min_words: int = 50, min_left: float = 0.3) -> DataFrame:
     """``id``, the base measures, ``base_failed``, ``left_words`` and ``kept`` of every row.
 
-    A line is removed if, within its host, more than ``max_share`` of the distinct texts and
-    more than ``min_docs`` of them hold it once normalised; copies of a text count once, so
-    that being copied does not make a text boilerplate. A document is kept if the base rules
+    A line is removed if, within its host, more than ``min_docs`` distinct texts hold it once
+    normalised, however large the host is; copies of a text count once, so that being copied
+    does not make a text boilerplate. A document is kept if the base rules
     pass and the lines that are left hold ``min_words`` words and ``min_left`` of all its words.
 
     A null or empty text has no words and fails; a null host is a host of its own; null ids and
@@ -94,13 +94,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     all_rows = stage(picked.mapInPandas(run, f"uid long, c0 {id_type}, host string, text_hash long, {longs}, lines array<long>, line_words array<long>"))
 
     texts = all_rows.where("n_words > 0").select("host", "text_hash", "lines").dropDuplicates(["host", "text_hash"])
-    size = texts.groupBy("host").agg(F.count("*").alias("texts"))
-    # a host's lines over the limit are fewer than its mean lines per text / max_share
     shared = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    over = shared.where(F.col("n") > min_docs).join(size, "host").where(F.col("n") > max_share * F.col("texts"))
-    over = stage(over.select("host", "line"))
+    over = stage(shared.where(F.col("n") > min_docs).select("host", "line"))
     pairs = all_rows.select("uid", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
     pairs = pairs.select("uid", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
+    # The table of removed lines grows with the corpus; sent whole only while it is small.
     hit = pairs.join(F.broadcast(over) if over.count() <= 50_000 else over, ["host", "line"])
     gone = hit.groupBy("uid").agg(F.sum("words").alias("gone"))
     out = all_rows.drop("lines", "line_words").join(gone, "uid", "left").withColumn("left_words", F.col("n_words") - F.coalesce("gone", F.lit(0)))
