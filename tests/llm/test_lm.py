@@ -46,3 +46,12 @@ def test_edge_rows_and_many_parts(spark, monkeypatch):
         assert r.n_words == len(split[k]) and r.log_sum == pytest.approx(score(split[k]))
         assert (r.mean_log10 is None) == (not split[k])
     assert lm.lm_scores(docs.limit(0)).count() == 0
+
+
+def test_counts_do_not_depend_on_the_size_of_the_corpus(spark):
+    # over 2 * 2**20 words, so that a share of one in 2**20 words would be over 2
+    docs = spark.range(0, 2200, 1, 4).selectExpr("id", "array_join(transform(sequence(1, 1000), x -> concat('w', x % 500)), ' ') as text")
+    docs = docs.unionByName(spark.createDataFrame([(9001, "rare pair"), (9002, "rare pair"), (9003, "other rest"), (9004, "other rest")], "id long, text string"))
+    total = 2_200_000 + 8
+    got = {r.id: r.log_sum for r in lm.lm_scores(docs, "id").where("id > 9000").collect()}
+    assert got == {k: pytest.approx(math.log(2 / total)) for k in (9001, 9002, 9003, 9004)}  # the second word is sure

@@ -1,8 +1,7 @@
-"""Stupid-backoff scores from n-gram counts that are joined by hash bucket."""
+"""Stupid-backoff scores from n-gram counts that are summed by hash bucket."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,153 +12,171 @@ from pyspark.sql import functions as F
 
 from .common import column, stage
 
-#: A word has an id of its own if it makes up one in 2**VOCAB_BITS words; the rest share an id.
-VOCAB_BITS = 20
-
 #: Words of a part of the corpus, whose documents are numbered from 0, and n-grams of a bucket.
 PART_WORDS, BUCKET_GRAMS = 1_000_000, 1_000_000
 
+#: The hash that stands for any word that occurs once in the corpus.
+ONCE = np.uint64(0)
+
 
 def _words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []
 
 
-class Vocabulary:
-    """Word counts: sorted hashes of the words with an id, and their counts; id 0 is any other word."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A well-mixed 64-bit hash of each number."""
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.counts = np.concatenate([[total - counts.sum()], counts[order]]).astype(np.float64)
-        self.total = total
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        digest = xxhash.xxh3_64_intdigest
-        h = np.fromiter((digest(w) for w in words), np.uint64, len(words)).view(np.int64)
-        at = np.searchsorted(self.hashes, h)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == h, at + 1, 0) if len(self.hashes) else np.zeros(len(h), np.int64)
+def _packed(words: np.ndarray) -> bytes:
+    """Word numbers byte plane by byte plane: the upper ones are mostly zeros and take little room."""
+    return np.ascontiguousarray(words.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def count_words(docs: DataFrame, text_col: str = "text") -> Vocabulary:
-    """Counts of all words; at most 2**VOCAB_BITS of them can be frequent enough to come back."""
+def _unpacked(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh3_64_intdigest
-        seen: Counter = Counter()
 
-        def out() -> pd.DataFrame:
-            h = np.fromiter(map(digest, seen), np.uint64, len(seen)).view(np.int64)
-            return pd.DataFrame({"word": h, "n": np.fromiter(seen.values(), np.int64, len(seen))})
+def _dealt(grams: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the n-grams by bucket, and where each bucket ends in it."""
+    bucket = ((_mixed(grams) >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(n_buckets + 1))
 
-        for pdf in batches:
-            for t in pdf["text"]:
-                seen.update(_words(t))
-                if len(seen) > 500_000:
-                    yield out()
-                    seen.clear()
-        yield out()
 
-    words = docs.select(column(docs, text_col).alias("text")).mapInPandas(count, "word long, n long")
-    words = stage(words.groupBy("word").agg(F.sum("n").alias("n")))
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = words.where(F.col("n") >= total / 2**VOCAB_BITS).where("n > 1").toPandas()
-    return Vocabulary(kept["word"].to_numpy(np.int64), kept["n"].to_numpy(np.int64), total)
+def _cells(part: int, grams: np.ndarray, times: np.ndarray, n_buckets: int) -> pd.DataFrame:
+    """A part's distinct n-grams and how often it holds them, a row for each bucket."""
+    order, ends = _dealt(grams, n_buckets)
+    rows = []
+    for b in np.flatnonzero(np.diff(ends)):
+        at = order[ends[b] : ends[b + 1]]
+        rows.append((part, int(b), grams[at].tobytes(), times[at].astype(np.int64).tobytes()))
+    return pd.DataFrame(rows, columns=["part", "bucket", "grams", "times"])
+
+
+def _sum_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of a bucket: the corpus total of each cell's n-grams, how many of all occur once, and all occurrences."""
+    grams = np.concatenate([np.frombuffer(a, np.uint64) for a in pdf["grams"]])
+    times = np.concatenate([np.frombuffer(a, np.int64) for a in pdf["times"]])
+    distinct, where = np.unique(grams, return_inverse=True)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, where, times)
+    ends = np.cumsum([len(a) // 8 for a in pdf["grams"]])
+    once = np.zeros(len(pdf), np.int64)
+    once[0] = (total == 1).sum()
+    n = np.zeros(len(pdf), np.int64)
+    n[0] = times.sum()
+    totals = [a.tobytes() for a in np.split(total[where], ends[:-1])]
+    return pd.DataFrame({"part": pdf["part"], "bucket": pdf["bucket"], "totals": totals, "once": once, "n": n})
+
 
+def _returned(pieces: pd.DataFrame, width: int, grams: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The totals of a part's n-grams of ``width`` words, from the rows that buckets gave back."""
+    order, _ = _dealt(grams, n_buckets)
+    out = np.zeros(len(grams), np.int64)
+    if len(grams):  # else there may be no pieces, nor their columns
+        own = pieces[pieces["width"] == width].sort_values("bucket")
+        out[order] = np.concatenate([np.frombuffer(a, np.int64) for a in own["totals"]])
+    return out
 
-def _mixed(grams: np.ndarray) -> np.ndarray:
-    """A well-mixed 64-bit hash of each n-gram."""
-    x = grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)
+
+def _pairs(what: pd.Series, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a part: each pair's document, left and right word, the distinct pairs' hashes, and each pair's place there."""
+    words, sizes = _unpacked(what["words"]), np.frombuffer(what["sizes"], np.int64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.flatnonzero(doc[:-1] == doc[1:])
+    left, right = words[at], words[at + 1]
+    names = np.where(counts > 1, np.frombuffer(what["hashes"], np.uint64), ONCE)
+    # words that occur once are one word, whose number here is that of the first of them
+    number = np.where(counts > 1, np.arange(len(counts)), np.argmax(counts == 1) if len(counts) else 0)
+    distinct, where = np.unique(number[left] * len(counts) + number[right], return_inverse=True)
+    a, b = (distinct // len(counts), distinct % len(counts)) if len(counts) else (distinct, distinct)
+    return doc[at], left, right, _mixed(_mixed(names[a]) + names[b]), where
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", discount: float = 0.4, min_count: int = 2) -> DataFrame:
     """``id, n_words, log_sum, mean_log10`` of every row: its stupid-backoff score under all of ``docs``.
 
-    Words are what stands between ASCII white space; words below one in 2**VOCAB_BITS share one
-    id. A word after another scores count(pair) / count(first) if the pair occurs ``min_count``
-    times in the corpus, else ``discount`` * count(word) / count(all); the first word of a text
-    scores its share of all words. The pairs of each document, counted, are dealt to buckets by
-    hash; a bucket sums the counts of its pairs over the corpus, joins them to the documents'
-    pairs and sums their logarithms per document.
+    Words are what stands between ASCII white space; every word that occurs twice in the corpus
+    is counted by its 64-bit hash, and words that occur once are one unknown word. A word after
+    another scores count(pair) / count(first) if the pair occurs ``min_count`` times in the
+    corpus, else ``discount`` * count(word) / count(all); the first word of a text scores its
+    share of all words. Each part of the corpus deals its distinct words, then its distinct
+    pairs, to buckets by hash; a bucket sums them and gives each part the totals of its own, so
+    that an n-gram has an entry for each part, however many documents hold it.
 
     ``log_sum`` is the sum of natural logarithms. Null and empty texts have no words, sum 0 and
     a null mean; null ids and repeated rows are rows like any other; other columns are not read.
     ``docs`` must give the same rows in the same partitions each time it is evaluated, as stored
     tables do.
     """
-    vocabulary = count_words(docs, text_col)
-    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    n_buckets = max(1, -(-vocabulary.total // BUCKET_GRAMS))
     picked = docs.select(F.monotonically_increasing_id().alias("uid"), column(docs, id_col).alias("id"), column(docs, text_col).alias("text"))
     id_type = picked.schema["id"].dataType.simpleString()
 
-    def parts_of(batches: Iterator[pd.DataFrame], pairs: bool) -> Iterator[pd.DataFrame]:
-        """Numbered documents of each part: what they are, or their pairs by bucket."""
-        v = known.value
-        held, words, part = [], 0, None
+    def parts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Numbered documents of each part, their words as places in its distinct hashes, early words first."""
+        digest = xxhash.xxh3_64_intdigest
+        ids, sizes, held, number, part = [], [], [], {}, None
 
         def out() -> pd.DataFrame:
-            if not pairs:
-                sizes = np.array([n for _, n, _ in held], np.int64)
-                first = np.array([np.log(v.counts[i[0]] / v.total) if len(i) else 0.0 for _, _, i in held])
-                row = (part, sizes.tobytes(), first.tobytes(), [own for own, _, _ in held])
-                return pd.DataFrame([row], columns=["part", "a", "b", "ids"])
-            counted = [np.unique(i[:-1] << VOCAB_BITS + 1 | i[1:], return_counts=True) for _, _, i in held]
-            grams = np.concatenate([g for g, _ in counted])
-            times = np.concatenate([n for _, n in counted]).astype(np.int32)
-            owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(g) for g, _ in counted])
-            bucket = (_mixed(grams) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            rows = []
-            for b in np.flatnonzero(np.diff(ends)):
-                at = order[ends[b] : ends[b + 1]]
-                rows.append((part, int(b), grams[at].tobytes(), owner[at].tobytes(), times[at].tobytes()))
-            return pd.DataFrame(rows, columns=["part", "bucket", "a", "b", "c"])
+            hashes = np.fromiter(map(digest, number), np.uint64, len(number))
+            row = (part, np.array(sizes, np.int64).tobytes(), _packed(np.concatenate(held)), hashes.tobytes(), ids)
+            return pd.DataFrame([row], columns=["part", "sizes", "words", "hashes", "ids"])
 
+        total = 0
         for pdf in batches:
             for uid, own, text in pdf.itertuples(index=False):
                 part = uid if part is None else part
                 found = _words(text)
-                held.append((own if not pd.isna(own) else None, len(found), v.ids(found if pairs else found[:1])))
-                words += len(found) + 1
-                if words >= PART_WORDS:
-                    yield from filter(len, [out()])
-                    held, words, part = [], 0, None
-        if held:
-            yield from filter(len, [out()])
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = known.value
-        grams = np.concatenate([np.frombuffer(a, np.int64) for a in pdf["a"]])
-        times = np.concatenate([np.frombuffer(c, np.int32) for c in pdf["c"]])
-        distinct, where = np.unique(grams, return_inverse=True)
-        total = np.bincount(where, times, len(distinct))  # the count table of this bucket
-        left, right = distinct >> (VOCAB_BITS + 1), distinct & ((1 << VOCAB_BITS + 1) - 1)
-        score = np.where(total >= min_count, total / v.counts[left], discount * v.counts[right] / v.total)
-        terms = np.log(score)[where] * times
-        del grams, where, times
-        out, at = [], 0
-        for part, owners in zip(pdf["part"], pdf["b"], strict=True):
-            own = np.frombuffer(owners, np.int32)
-            docs_, place = np.unique(own, return_inverse=True)
-            sums = np.bincount(place, terms[at : at + len(own)], len(docs_))
-            out.append((part, docs_.astype(np.int32).tobytes(), sums.tobytes()))
-            at += len(own)
-        return pd.DataFrame(out, columns=["part", "docs", "sums"])
-
-    def add(key, whats: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+                ids.append(own if not pd.isna(own) else None)
+                sizes.append(len(found))
+                held.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
+                total += len(found) + 1
+                if total >= PART_WORDS:
+                    yield out()
+                    ids, sizes, held, number, part, total = [], [], [], {}, None, 0
+        if ids:
+            yield out()
+
+    # Read twice: for the counts of words, and for one exchange that both later steps share. Keeping it on disk would add to that.
+    parts = picked.mapInPandas(parts_of, f"part long, sizes binary, words binary, hashes binary, ids array<{id_type}>")
+    n_bytes = picked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_buckets = int(max(1, -(-n_bytes // (6 * BUCKET_GRAMS))))
+    cell, summed = "part long, bucket int, grams binary, times binary", "part long, bucket int, totals binary, once long, n long"
+
+    def word_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part, words, hashes in zip(pdf["part"], pdf["words"], pdf["hashes"], strict=True):
+                grams = np.frombuffer(hashes, np.uint64)
+                yield _cells(part, grams, np.bincount(_unpacked(words), minlength=len(grams)), n_buckets)
+
+    def pair_cells(key, whats: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+        what = whats.iloc[0]
+        counts = _returned(pieces, 1, np.frombuffer(what["hashes"], np.uint64), n_buckets)
+        _, _, _, grams, where = _pairs(what, counts)
+        return _cells(what["part"], grams, np.bincount(where, minlength=len(grams)), n_buckets)
+
+    words = stage(parts.select("part", "words", "hashes").mapInPandas(word_cells, cell).groupBy("bucket").applyInPandas(_sum_up, summed)).withColumn("width", F.lit(1))
+    n_once, n_words = words.agg(F.coalesce(F.sum("once"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    dealt = parts.groupBy("part").cogroup(words.groupBy("part")).applyInPandas(pair_cells, cell)
+    pairs = dealt.groupBy("bucket").applyInPandas(_sum_up, summed)
+
+    def score(key, whats: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
         what = whats.iloc[0]
-        sizes, total = np.frombuffer(what["a"], np.int64), np.frombuffer(what["b"]).copy()
-        for d, s in sorted(zip(pieces["docs"], pieces["sums"], strict=True)):
-            total[np.frombuffer(d, np.int32)] += np.frombuffer(s)
+        counts = _returned(pieces, 1, np.frombuffer(what["hashes"], np.uint64), n_buckets)
+        doc, left, right, grams, where = _pairs(what, counts)
+        both = _returned(pieces, 2, grams, n_buckets)[where]
+        counts = np.where(counts > 1, counts, n_once).astype(np.float64)
+        terms = np.log(np.where(both >= min_count, both / counts[left], discount * counts[right] / n_words))
+        sizes, own = np.frombuffer(what["sizes"], np.int64), _unpacked(what["words"])
+        total = np.bincount(doc, terms, len(sizes)).astype(np.float64)  # whole numbers if there is no pair
+        some = np.flatnonzero(sizes)
+        total[some] += np.log(counts[own[(np.cumsum(sizes) - sizes)[some]]] / n_words)
         mean = [t / n / np.log(10) if n else None for t, n in zip(total, sizes, strict=True)]
         return pd.DataFrame({"id": what["ids"], "n_words": sizes, "log_sum": total, "mean_log10": pd.array(mean, "Float64")})
 
-    # Two passes over the texts: keeping the pairs on disk for a second use would double what is stored.
-    exploded = picked.mapInPandas(lambda b: parts_of(b, True), "part long, bucket int, a binary, b binary, c binary")
-    sums = exploded.groupBy("bucket").applyInPandas(join, "part long, docs binary, sums binary")
-    whats = picked.mapInPandas(lambda b: parts_of(b, False), f"part long, a binary, b binary, ids array<{id_type}>")
-    both = whats.groupBy("part").cogroup(sums.groupBy("part"))
-    return both.applyInPandas(add, f"id {id_type}, n_words long, log_sum double, mean_log10 double")
+    totals = words.unionByName(pairs.withColumn("width", F.lit(2)))
+    scored = parts.groupBy("part").cogroup(totals.groupBy("part"))
+    return scored.applyInPandas(score, f"id {id_type}, n_words long, log_sum double, mean_log10 double")
