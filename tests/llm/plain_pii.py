@@ -1,6 +1,7 @@
 """The pseudonym rules in plain Python."""
 
 import hashlib
+import hmac
 import re
 from datetime import date, timedelta
 
@@ -45,17 +46,50 @@ def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10
 
 
+def cased(template, text):
+    return "".join(b.upper() if "A" <= a <= "Z" else b for a, b in zip(template, text, strict=True))
+
+
+def filled(template, chars, of="[0-9]"):
+    it = iter(chars)
+    return re.sub(of, lambda _: next(it), template)
+
+
+def mod97(text):
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def card(m):
+    groups = re.findall("[0-9]+[ -]?", m)
+    runs = [re.sub("[ -]$", "", "".join(groups[a:b])) for a in range(len(groups)) for b in range(a + 1, len(groups) + 1)]
+    good = [w for w in runs if 13 <= len(re.sub(r"\D", "", w)) <= 19 and luhn(re.sub(r"\D", "", w)) == 0]
+    return max(good, key=len, default=None)
+
+
 def plain(m, key):
-    t = lambda k: f"{key}:{k}"
+    t = lambda k: hmac.new(key.encode(), k.encode(), hashlib.sha256).hexdigest()
     full = lambda k: re.fullmatch(pii.PATTERNS[k], m)
     if full("email"):
         stem, tld = m.rsplit(".", 1)
-        return plain_text(stem, t("email")) + "." + tld
+        return cased(stem, plain_text(stem.lower(), t("email"))) + "." + tld
     if full("hex"):
         return plain_text(m, t("hex"), True)
+    if full("key"):
+        p = re.match("AKIA|ASIA|gh[a-z]_|sk-", m)[0]
+        return p + plain_text(m[len(p) :], t("key"))
+    if full("iban"):
+        v = m.replace(" ", "")
+        if mod97(v[4:] + v[:4]) != 1:
+            return m
+        new = plain_text(v[4:], f"{t('iban')}:{v[:2]}")
+        return filled(m, f"{v[:2]}{98 - mod97(new + v[:2] + '00'):02}{new}", "[0-9A-Z]")
     if full("phone"):
-        p = re.match(r"^\+\d{1,3}(?=\D)|", m)[0]
-        return p + plain_text(m[len(p) :], t("phone"))
+        d = re.sub(r"\D", "", m)
+        c = re.match(pii.COUNTRY, d)[0] if m[0] == "+" else "1"
+        new = plain_text(d[len(c) :] if m[0] == "+" else d, f"{t('phone')}:{c}")
+        return filled(m, c + new if m[0] == "+" else new)
+    if full("ip6"):
+        return cased(m, filled(m, plain_text(m.lower().replace(":", ""), t("ip6"), True), "[0-9A-Fa-f]"))
     if full("ip"):
         o = [int(x) for x in m.split(".")]
         if max(o) > 255:
@@ -86,13 +120,12 @@ def plain(m, key):
             sep = "/" if "/" in m else "."
             return f"{two[0]:{w}}{sep}{two[1]:{w}}{sep}{new.year}"
         return m
-    d = re.sub(r"\D", "", m)
-    if luhn(d):
+    w = m if luhn(re.sub(r"\D", "", m)) == 0 else card(m)
+    if w is None:
         return m
+    d = re.sub(r"\D", "", w)
     p = d[0] + plain_text(d[1:-1], t("card"))
-    p += str(-luhn(p + "0") % 10)
-    it = iter(p)
-    return re.sub(r"\d", lambda _: next(it), m)
+    return m.replace(w, filled(w, p + str(-luhn(p + "0") % 10)))
 
 
 def rewrite_with(key, text):
