@@ -59,7 +59,7 @@ def test_matches_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = sorted(tuple(r) for r in docs.collect())
     got = {r.doc_id: r.text for r in queries.op6_substring_chunks(spark, SF).collect()}
-    assert [got[d] for d, _ in rows] == brute(rows, 64)
+    assert [got[d] for d, _ in rows] == brute(rows, substrings.LEAST_RUN)
 
 
 def test_passages_and_edge_rows(spark):

@@ -16,6 +16,10 @@ from .common import keyed_rows, stage
 #: Chunks end at one byte in 2**BITS and have LEAST to MOST bytes.
 BITS, LEAST, MOST = 5, 8, 96
 
+#: Bytes from which a run of shared chunks is a repeated passage. A passage of 50 words has some
+#: 300 bytes, of which the chunks at its two ends, which also hold bytes of what surrounds it, are lost.
+LEAST_RUN = 192
+
 
 def chunk_digests(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Ends (in bytes) and digests (signed) of the chunks of a whole text."""
@@ -65,7 +69,7 @@ def merge_spans(chunks: list[tuple], least: int) -> tuple[int, list[tuple[int, i
     return repeated, spans
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 64) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_RUN) -> DataFrame:
     """``id, n_bytes, repeated_bytes, removed_bytes, spans, text`` of every row.
 
     Chunks with equal digests, in one text or several, are the same passage; the place with the
@@ -75,10 +79,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     depend on the last 32 bytes only, so an insertion changes the chunks next to it alone.
 
     A null text stays null and has no bytes; null ids come first; repeated rows are texts like
-    any other; other columns are not read. ``docs`` must give the same rows in the same
-    partitions each time it is evaluated, as stored tables do.
+    any other; other columns are not read. Ids, texts and row numbers are staged once, so that
+    spans always belong to the text they are cut from, whatever ``docs`` is computed from.
     """
-    rows = keyed_rows(docs, id_col, text_col)
+    rows = stage(keyed_rows(docs, id_col, text_col))
     found = rows.mapInPandas(_occurrences, "uid long, seq int, first int, last int, digest long")
     place = F.min(F.struct("uid", "seq")).alias("owner")
     shared = found.groupBy("digest").agg(F.count("*").alias("n"), place).where("n > 1").select("digest", "owner")
