@@ -126,12 +126,14 @@ def train(x: np.ndarray, y: np.ndarray, labels: list, epochs: int = 6, rate: flo
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = 4000, per_row: int = 4, seed: int = 7) -> ByteCnn | None:
-    """Train on a sample of the labelled rows of ``docs``: ``max_rows`` of them at most.
-
-    The sample is the rows with the smallest text hashes, so it does not depend on the order of
-    the rows. Of each, up to ``per_row`` windows are taken from anywhere in the text, some cut
-    short so that short texts are learnt too. Rows without text or label are left out; without
-    any row there is no model (None).
+    """Train on a sample of the labelled rows of ``docs``: ``max_rows`` of them at most, or so.
+
+    Every language has the same quota (``max_rows`` by the number of languages): its texts are
+    drawn by hash at the rate that fills the quota, so a rare language is learnt from all its
+    rows. The draw does not depend on the order of the rows and equal texts are drawn together.
+    Of each text, up to ``per_row`` windows are taken from anywhere in it, some cut short so that
+    short texts are learnt too. Rows without text or label are left out; without any row there
+    is no model (None).
     """
     text, lang = column(docs, text_col), column(docs, lang_col)
     some = docs.where(text.isNotNull() & lang.isNotNull() & (F.length(F.trim(text)) > 0)).select(text.alias("text"), lang.alias("lang"))
@@ -148,11 +150,13 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_row
                     out.append((data[at : at + size], own))
             yield pd.DataFrame(out, columns=["data", "lang"])
 
-    hashed = some.withColumn("h", F.xxhash64("text"))
-    low = hashed.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
-    if low is None:
+    rows_of = {r.lang: r.n for r in some.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not rows_of:
         return None
-    chosen = hashed.where(F.col("h") <= low).limit(4 * max_rows)
+    quota = max(1, max_rows // len(rows_of))
+    rate = F.create_map(*[F.lit(x) for own, n in sorted(rows_of.items()) for x in (own, min(1.0, quota / n))])
+    hashed = some.withColumn("h", F.xxhash64("text"))
+    chosen = hashed.where(F.pmod("h", F.lit(1_000_003)) < rate[F.col("lang")] * 1_000_003).limit(4 * max_rows)
     got = chosen.select("text", "lang", "h").mapInPandas(cut, "data binary, lang string").toPandas()
     got = got.sort_values(["lang", "data"], kind="stable")
     labels = sorted(got["lang"].unique())
