@@ -97,26 +97,38 @@ def encode_part(c: Codec, text: str) -> tuple[str, bytes, str]:
 
 
 class Joiner:
-    """Joins encoded chunks of one text; re-encodes each seam until it agrees with both sides."""
+    """Joins encoded chunks of one text.
+
+    Each seam is re-encoded from the last safe cut before it to the first one after it. Ids on
+    either side of a safe cut do not depend on what is beyond it, so this agrees with the ids of
+    the whole text. A text without a safe cut is one seam, which is gathered in pieces and
+    encoded once, at its end.
+    """
 
     def __init__(self, c: Codec):
-        self.codec, self.ids, self.open = c, [], ""
+        self.codec, self.ids, self.open = c, [], []
+
+    def _close(self, text: str) -> None:
+        self.open.append(text)
+        self.ids += self.codec.encode("".join(self.open))
 
     def add(self, head: str, ids: bytes, tail: str) -> None:
-        if not ids and not tail:  # no safe cut: the seam goes on
-            self.open += head
-            cut = last_safe_cut(self.open)
-            if cut > 0:
-                self.ids += self.codec.encode(self.open[:cut])
-                self.open = self.open[cut:]
+        if not ids and not tail:  # no safe cut within the chunk: the seam goes on, unless there is one where it starts
+            before = next((t[-1] for t in reversed(self.open) if t), "")
+            cut = last_safe_cut(before + head) - len(before)
+            if cut >= 0:
+                self._close(head[:cut])
+                self.open = [head[cut:]]
+            else:
+                self.open.append(head)
             return
-        self.ids += self.codec.encode(self.open + head)
+        self._close(head)
         self.ids += np.frombuffer(ids, np.int32).tolist()
-        self.open = tail
+        self.open = [tail]
 
     def finish(self) -> list[int]:
-        self.ids += self.codec.encode(self.open)
-        self.open = ""
+        self._close("")
+        self.open = []
         return self.ids
 
 
