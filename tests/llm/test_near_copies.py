@@ -3,7 +3,7 @@ from collections import defaultdict
 import corpus_pipeline
 import numpy as np
 
-from veritide.llm import minhash, simhash
+from veritide.llm import near_copies, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -48,7 +48,7 @@ def test_near_copies_beyond_four_bits_go(spark):
     base = [f"w{k}" for k in rng.integers(0, 5000, 60)]
     other = [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in range(60)]
     prints = simhash.fingerprints([" ".join(base), *other])
-    far = [t for t, p in zip(other, prints[1:], strict=True) if np.bitwise_count(p ^ prints[0]) > 4 and minhash.similarity(minhash.shingle_set(t), minhash.shingle_set(" ".join(base))) >= 0.8]
+    far = [t for t, p in zip(other, prints[1:], strict=True) if np.bitwise_count(p ^ prints[0]) > 4 and near_copies.similarity(near_copies.shingle_set(t), near_copies.shingle_set(" ".join(base))) >= 0.8]
     half = " ".join(base[:40] + [f"x{k}" for k in range(20)])
     rows = [(9, " ".join(base), "a"), (3, far[0], "b"), (4, half, "c"), (5, None, "d"), (6, " ", "e"), (None, far[0], "f"), (7, "one", "g"), (7, "one", "h")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, H string")
@@ -61,4 +61,16 @@ def test_large_bucket_is_linked(spark):
     base = [f"w{k}" for k in range(200)]
     rows = [(k, " ".join([*base[:k], f"own{k}", *base[k + 1 :]]), "a") for k in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    assert [r.doc_id for r in minhash.near_copy_dedup(docs).collect()] == [0]
+    assert [r.doc_id for r in near_copies.near_copy_dedup(docs).collect()] == [0]
+
+
+def test_groups_that_no_pivot_joins(spark):
+    # a ring: each text is like its two neighbours only, so that pivots join few of them
+    words = [f"w{k}" for k in range(900)]
+    rows = [(k, " ".join(words[(10 * k + i) % 900] for i in range(200))) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert plain_kept(rows)[0] == {0}
+    for shard_rows in (20_000, 3):
+        links = near_copies.near_copy_links(docs, shard_rows=shard_rows)
+        got = simhash.connected(links)
+        assert got.count() == 89 and got.select("component").distinct().count() == 1

@@ -70,3 +70,15 @@ def test_components_of_long_path(spark):
     got = {r.node: r.component for r in connected(links).collect()}
     assert got == {**{i: 0 for i in range(1, 301)}, 501: 500}
     assert label_pairs(4, np.array([3]), np.array([1])).tolist() == [0, 1, 2, 1]
+
+
+def test_bands_follow_the_number_of_fingerprints(spark):
+    assert [simhash.bands_for(n, 4) for n in (0, 10**6, 10**8, 10**10)] == [5, 5, 6, 7]
+    rng = random.Random(6)
+    base = [rng.getrandbits(63) for _ in range(40)]
+    prints = {b ^ sum(1 << rng.randrange(63) for _ in range(rng.randrange(5))) for b in base for _ in range(10)}
+    df = spark.createDataFrame([(p,) for p in prints], "fp long")
+    want = plain_groups([(p, p) for p in sorted(prints)])
+    for bands in (6, 7):
+        got = {r.node: r.component for r in connected(simhash.link_fingerprints(df, 4, bands)).collect()}
+        assert {p: got.get(p, p) for p in prints} == want

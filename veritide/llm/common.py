@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ WORD = f"[^{SPACE}]+"
 
 _own_dir: list[str] = []
 
+#: Tables staged within each open :func:`scratch`.
+_open: list[list[DataFrame]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one on a local master."""
@@ -31,7 +36,23 @@ def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of it; cuts the lineage."""
     at = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    if _open:
+        _open[-1].append(out)
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes the tables that are staged within it, but for those taken out of the list it gives."""
+    made: list[DataFrame] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.pop()
+        for df in made:
+            drop_staged(df)
 
 
 def drop_staged(df: DataFrame) -> None:

@@ -25,14 +25,26 @@ def _shingles(text: str | None, width: int) -> Iterator[bytes]:
     return map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
 
 
-def fingerprints(texts, width: int = 4, seed: int = 42) -> np.ndarray:
-    """The 64-bit SimHash of each text: a bit is set if it is in over half the shingle hashes.
+def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """The XXH64 of every shingle of a text, repeats included.
 
     Texts are lower-cased in A-Z and split at ASCII white space; a text with fewer words than
-    ``width`` is one shingle, and one without any (null too) has fingerprint zero.
+    ``width`` is one shingle, and one without any (null too) has none.
     """
-    ones = np.zeros((len(texts), 64), np.int64)
-    total = np.zeros(len(texts), np.int64)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(s, seed) for s in _shingles(text, width)), np.uint64)
+
+
+def fingerprints(texts, width: int = 4, seed: int = 42) -> np.ndarray:
+    """The 64-bit SimHash of each text (see :func:`shingle_hashes`); a text without words has zero."""
+    return prints_of((shingle_hashes(t, width, seed) for t in texts), len(texts))
+
+
+def prints_of(hash_lists, n: int | None = None) -> np.ndarray:
+    """The SimHash of each list of hashes: a bit is set if it is in over half of them."""
+    n = len(hash_lists) if n is None else n
+    ones = np.zeros((n, 64), np.int64)
+    total = np.zeros(n, np.int64)
     held: list[np.ndarray] = []
     owner: list[int] = []
     size = 0
@@ -47,9 +59,7 @@ def fingerprints(texts, width: int = 4, seed: int = 42) -> np.ndarray:
             owner.clear()
             size = 0
 
-    digest = xxhash.xxh64_intdigest
-    for k, text in enumerate(texts):
-        hashes = np.fromiter((digest(s, seed) for s in _shingles(text, width)), np.uint64)
+    for k, hashes in enumerate(hash_lists):
         total[k] = len(hashes)
         for at in range(0, len(hashes), BLOCK):
             held.append(hashes[at : at + BLOCK])
@@ -59,7 +69,7 @@ def fingerprints(texts, width: int = 4, seed: int = 42) -> np.ndarray:
                 count()
     count()
     packed = np.packbits(2 * ones > total[:, None], axis=1, bitorder="little")
-    return np.ascontiguousarray(packed).view(np.uint64).ravel() if len(texts) else np.zeros(0, np.uint64)
+    return np.ascontiguousarray(packed).view(np.uint64).ravel() if n else np.zeros(0, np.uint64)
 
 
 class BKForest:
@@ -73,6 +83,7 @@ class BKForest:
     def __init__(self, prints: np.ndarray, shard: np.ndarray):
         """``prints``: distinct within each shard; ``shard``: numbers from 0."""
         self.n_shards = int(shard.max()) + 1 if len(shard) else 0
+        self.shard_of = shard
         order = np.argsort(shard, kind="stable")
         node, parent_key = order, shard[order].astype(np.int64)
         items, edge, base = [], [], 0
@@ -112,13 +123,26 @@ class BKForest:
         return (np.concatenate(got_q), np.concatenate(got_i)) if got_q else (np.zeros(0, np.int64),) * 2
 
 
+    def near_all(self, query: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`near` in steps that hold ``FRONTIER`` pairs of a query and a node at most."""
+        size = np.bincount(self.shard_of, minlength=self.n_shards)
+        cost = np.cumsum(size[shard]) if len(shard) else np.zeros(0, np.int64)
+        got_q, got_i, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        while at < len(query):
+            upto = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + FRONTIER, side="right")))
+            q, i = self.near(query[at:upto], shard[at:upto], radius)
+            got_q.append(q + at)
+            got_i.append(i)
+            at = upto
+        return np.concatenate(got_q), np.concatenate(got_i)
+
+
 #: Query-node pairs that one step of a search may hold.
 FRONTIER = 2_000_000
 
 
 def _shard_links(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
     """Stars of the linked fingerprints of whole shards (columns band, key, lo, hi, role, fp)."""
-    pdf = pdf.reset_index(drop=True)
     shard = pdf.groupby(["band", "key", "lo", "hi"], sort=False).ngroup().to_numpy()
     prints, role = pdf["fp"].to_numpy().view(np.uint64), pdf["role"].to_numpy()
     tree = np.flatnonzero(role != 2)  # 0: both, 1: tree, 2: query
@@ -128,28 +152,18 @@ def _shard_links(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
     number = np.cumsum(has_tree) - 1
     ask = ask[has_tree[shard[ask]]]
     forest = BKForest(prints[tree], number[shard[tree]])
-    size = np.bincount(number[shard[tree]], minlength=forest.n_shards)
-    cost = np.cumsum(size[number[shard[ask]]])
-    links_a, links_b, at = [], [], 0
-    while at < len(ask):
-        upto = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + FRONTIER, side="right")))
-        part = ask[at:upto]
-        q, i = forest.near(prints[part], number[shard[part]], radius)
-        a, b = part[q], tree[i]
-        keep = prints[a] != prints[b]
-        links_a.append(a[keep])
-        links_b.append(b[keep])
-        at = upto
-    a = np.concatenate(links_a) if links_a else np.zeros(0, np.int64)
-    b = np.concatenate(links_b) if links_b else np.zeros(0, np.int64)
+    q, i = forest.near_all(prints[ask], number[shard[ask]], radius)
+    a, b = ask[q], tree[i]
+    keep = prints[a] != prints[b]
+    a, b = a[keep], b[keep]
     nodes, where = np.unique(np.concatenate([prints[a], prints[b]]), return_inverse=True)
     label = label_pairs(len(nodes), where[: len(a)], where[len(a) :])
     child = label != np.arange(len(nodes))
     return pd.DataFrame({"u": nodes[child].view(np.int64), "v": nodes[label[child]].view(np.int64)})
 
 
-def _search(radius: int, hold: int):
-    """Reads shards in order and searches them ``hold`` rows or so at a time."""
+def in_shards(keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], hold: int):
+    """Reads rows in order of ``keys`` and works on whole shards, ``hold`` rows or so at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -157,22 +171,34 @@ def _search(radius: int, hold: int):
         for pdf in batches:
             if not len(pdf):
                 continue
-            last = pdf.iloc[-1][["band", "key", "lo", "hi"]]
-            whole = (pdf[["band", "key", "lo", "hi"]] != last).any(axis=1)
+            last = pdf.iloc[-1][keys]
+            whole = (pdf[keys] != last).any(axis=1)
             held.append(pdf)
             rows += len(pdf)
             if rows >= hold and whole.any():
                 every = pd.concat(held)
-                ends = (every[["band", "key", "lo", "hi"]] == last).all(axis=1)
-                yield _shard_links(every[~ends], radius)
+                ends = (every[keys] == last).all(axis=1)
+                yield work(every[~ends].reset_index(drop=True))
                 held, rows = [every[ends]], int(ends.sum())
         if rows:
-            yield _shard_links(pd.concat(held), radius)
+            yield work(pd.concat(held).reset_index(drop=True))
 
     return run
 
 
-def link_fingerprints(prints: DataFrame, radius: int = 4, bands: int = 5, shard_rows: int = 20_000) -> DataFrame:
+def bands_for(n: int, radius: int, shard_rows: int = 2_000) -> int:
+    """The fewest runs of bits with which shards of ``n`` random fingerprints have ``shard_rows`` rows or fewer.
+
+    More runs make smaller shards but more of them for each fingerprint: 5 do up to 14 million
+    fingerprints, 6 up to 5 billion, 7 up to 350 billion (radius 4).
+    """
+    bands = radius + 1
+    while n > shard_rows * 2 ** (64 * (bands - radius) // bands) and bands < radius + 4:
+        bands += 1
+    return bands
+
+
+def link_fingerprints(prints: DataFrame, radius: int = 4, bands: int | None = None, shard_rows: int = 20_000) -> DataFrame:
     """``u, v``: links that connect all fingerprints within ``radius`` of each other.
 
     ``prints`` has one long column ``fp``, distinct. The 64 bits are cut into ``bands`` runs of
@@ -181,8 +207,10 @@ def link_fingerprints(prints: DataFrame, radius: int = 4, bands: int = 5, shard_
     each shard and searched with its members, following only edges within the radius. A shard
     of over ``shard_rows`` rows is cut into blocks; the bounded tree of each block is sent to
     the query blocks of its shard, never to the whole cluster, so what is sent has a fixed
-    size. More bands (6 share 2 runs, 7 share 3) make smaller shards for larger corpora.
+    size. Without ``bands`` their number follows the number of fingerprints (:func:`bands_for`).
     """
+    if bands is None:
+        bands = bands_for(prints.count(), radius)
     if bands <= radius:
         raise ValueError("bands must exceed radius")
     cuts = [64 * k // bands for k in range(bands + 1)]
@@ -201,10 +229,11 @@ def link_fingerprints(prints: DataFrame, radius: int = 4, bands: int = 5, shard_
     role = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
     split = split.select("band", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), role.alias("role"), "fp")
     split = split.repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi", "fp")
-    return split.mapInPandas(_search(radius, 200_000), "u long, v long")
+    search = in_shards(["band", "key", "lo", "hi"], lambda pdf: _shard_links(pdf, radius), 200_000)
+    return split.mapInPandas(search, "u long, v long")
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int, radius: int, bands: int) -> DataFrame:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int, radius: int, bands: int | None) -> DataFrame:
     """``id, text_hash, fingerprint, component`` of every row."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,7 +260,7 @@ def groups_by_links(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) ->
     return rows.join(named, "fingerprint")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4, bands: int = 5) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4, bands: int | None = None) -> DataFrame:
     """``id, fingerprint, component``: near-duplicate groups of whole texts.
 
     One row for every row of ``docs``; ``fingerprint`` is a long whose bits are the SimHash,
@@ -243,7 +272,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _grouped(docs, id_col, text_col, width, seed, radius, bands).select("id", "fingerprint", "component")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4, bands: int = 5) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4, bands: int | None = None) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest id.
 
     All columns stay. Among rows with that id the smallest text hash decides, and of rows that
