@@ -44,7 +44,7 @@ def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix at weights 5, 2, 1 takes."""
-    return mixing.mix_sizes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mixing.mix_sizes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "shards")
 
 
 ORACLES["op2_mix_sources"] = mixing.mix_sql()
