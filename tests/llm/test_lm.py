@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from veritide.llm import lm, queries
@@ -18,38 +19,54 @@ def test_matches_sql(spark):
     assert all(got[d][1] == pytest.approx(s, abs=2e-6) and got[d][2] == pytest.approx(m, abs=2e-6) for d, _, s, m in want)
 
 
+def plain_scores(split):
+    """The score of every text, from counts in dictionaries."""
+    n = [Counter(tuple(s[i : i + k]) for s in split for i in range(len(s) - k + 1)) for k in (1, 2, 3)]
+    total = sum(n[0].values())
+
+    def share(s, i):
+        for k in range(min(i, 2), 0, -1):
+            gram = tuple(s[i - k : i + 1])
+            if n[k][gram] >= 2:
+                return 0.4 ** (min(i, 2) - k) * n[k][gram] / n[k - 1][gram[:-1]]
+        return 0.4 ** min(i, 2) * n[0][s[i],] / total
+
+    return [sum(math.log(share(s, i)) for i in range(len(s))) for s in split]
+
+
 def test_edge_rows_and_many_parts(spark, monkeypatch):
     monkeypatch.setattr(lm, "PART_WORDS", 7)
     monkeypatch.setattr(lm, "BUCKET_GRAMS", 5)
-    texts = ["a b a b c", "b a b", None, "", "a", "z q z q", "once only here", "a b a b c", "é a\x85b\xa0"]
+    texts = ["a b a b c", "b a b", None, "", "a", "z q z q", "once only here", "a b a b c", "é a\x85b\xa0k", "a b " * 20_000]
     rows = [(k, t, "s") for k, t in enumerate(texts)] + [(None, "a b", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, PART string")
     split = [(t or "").encode().split() for _, t, _ in rows]
-    c1 = Counter(w for s in split for w in s)
-    rare = sum(n for n in c1.values() if n == 1)
-    name = lambda w: w if c1[w] > 1 else None
-    c2 = Counter((name(a), name(b)) for s in split for a, b in zip(s, s[1:], strict=False))
-    n1 = lambda w: c1[w] if c1[w] > 1 else rare
-    total = sum(c1.values())
-
-    def score(s):
-        out = math.log(n1(s[0]) / total) if s else 0.0
-        for a, b in zip(s, s[1:], strict=False):
-            n = c2[name(a), name(b)]
-            out += math.log(n / n1(a) if n >= 2 else 0.4 * n1(b) / total)
-        return out
-
+    want = plain_scores(split)
     got = lm.lm_scores(docs).collect()
     assert len(got) == len(rows)
     for r in got:
         k = len(texts) if r.id is None else r.id
-        assert r.n_words == len(split[k]) and r.log_sum == pytest.approx(score(split[k]))
+        assert r.n_words == len(split[k]) and r.log_sum == pytest.approx(want[k])
         assert (r.mean_log10 is None) == (not split[k])
     assert lm.lm_scores(docs.limit(0)).count() == 0
 
 
+def test_a_pair_in_every_document_and_words_that_occur_once(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PART_WORDS", 50)
+    texts = [f"of the own{k} word{k % 7} of the end" for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = plain_scores([t.encode().split() for t in texts])
+    got = {r.id: r.log_sum for r in lm.lm_scores(docs.orderBy("doc_id")).collect()}
+    assert got == {k: pytest.approx(w) for k, w in enumerate(want)}
+
+
+def test_packed_numbers():
+    for x in ([], [0], [0, 0], [1, 255, 256], [2**64 - 1, 3]):
+        assert lm.unpacked(lm.packed(np.array(x, np.uint64))).tolist() == x
+
+
 def test_counts_do_not_depend_on_the_size_of_the_corpus(spark):
-    # over 2 * 2**20 words, so that a share of one in 2**20 words would be over 2
+    # over 2 * 2**20 words
     docs = spark.range(0, 2200, 1, 4).selectExpr("id", "array_join(transform(sequence(1, 1000), x -> concat('w', x % 500)), ' ') as text")
     docs = docs.unionByName(spark.createDataFrame([(9001, "rare pair"), (9002, "rare pair"), (9003, "other rest"), (9004, "other rest")], "id long, text string"))
     total = 2_200_000 + 8

@@ -132,7 +132,7 @@ def op6_substring_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's stupid-backoff score under word pairs of the whole corpus."""
+    """Every document's stupid-backoff score under words, pairs and triples of the whole corpus."""
     scores = lm.lm_scores(table(spark, sf_dir, "documents"))
     # sums of logarithms depend on their order in the last digits
     return scores.select(F.col("id").alias("doc_id"), "n_words", F.round("log_sum", 6).alias("log_sum"), F.round("mean_log10", 6).alias("mean_log10"))
@@ -142,16 +142,19 @@ ORACLES["op7_lm_backoff"] = """
 with d as (select row_number() over () as uid, doc_id,
   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
 p as (select uid, unnest(range(1, len(w) + 1)) as i, w from d),
-o as (select uid, i, w[i] as word from p),
+o as (select uid, i, w[i] as c, case when i > 1 then w[i - 1] end as b, case when i > 2 then w[i - 2] end as a from p),
 n as (select count(*) as total from o),
-v as (select word, count(*) as c from o group by word),
-k as (select word, case when c > 1 and c >= total / 1048576.0 then word else '' end as id, c from v, n),
-u as (select id, sum(c) as c from k group by id),
-t as (select uid, i, id, lag(id) over (partition by uid order by i) as before from o join k using (word)),
-b as (select before, id, count(*) as c from t where before is not null group by before, id),
-s as (select t.uid, ln(case when t.before is null then u.c / n.total
-    when b.c >= 2 then b.c / f.c else 0.4 * u.c / n.total end) as x
-  from t join u on t.id = u.id left join u f on t.before = f.id left join b on t.before = b.before and t.id = b.id, n)
+n1 as (select c, count(*) as n from o group by c),
+n2 as (select b, c, count(*) as n from o where b is not null group by b, c),
+n3 as (select a, b, c, count(*) as n from o where a is not null group by a, b, c),
+s as (select uid, ln(case when n3.n >= 2 then n3.n / p2.n
+    when n2.n >= 2 then n2.n / p1.n * case when o.a is null then 1 else 0.4 end
+    else n1.n / total * case when o.b is null then 1 when o.a is null then 0.4 else 0.4 * 0.4 end end) as x
+  from o join n1 on o.c = n1.c
+  left join n2 on o.b = n2.b and o.c = n2.c
+  left join n1 p1 on o.b = p1.c
+  left join n3 on o.a = n3.a and o.b = n3.b and o.c = n3.c
+  left join n2 p2 on o.a = p2.b and o.b = p2.c, n)
 select doc_id, len(w)::bigint as n_words, round(coalesce(sum(x), 0), 6) as log_sum, round(sum(x) / len(w) / ln(10), 6) as mean_log10
 from d left join s using (uid) group by uid, doc_id, w
 """
