@@ -15,8 +15,11 @@ from .components import connected, label_pairs
 #: Leading principal dimensions of the grid and of the bounding boxes.
 GRID_DIMS, BOX_DIMS = 4, 12
 
-#: Rows of a block, rows of the smallest interval that a task joins, children of a tree node.
-BLOCK_ROWS, LEAF_ROWS, FAN = 2048, 128, 8
+#: Least and most rows of a block, rows of the smallest interval that a task joins, children of a tree node.
+BLOCK_ROWS, MOST_ROWS, LEAF_ROWS, FAN = 2048, 32_768, 512, 8
+
+#: Pairs that are summed in double precision at a time.
+STEP = 65_536
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -37,11 +40,20 @@ def join_intervals(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray,
 
     Both are in grid order; intervals are halved until they are small, and pairs of intervals
     whose boxes over the leading principal dimensions (``px``, ``py``) are further apart than
-    linked vectors can be are skipped.
+    linked vectors can be are skipped. In small intervals single precision proposes pairs, with
+    more room than its rounding needs; sums in double precision decide.
     """
     reach = 2 * (1 - floor) + 1e-9
+    room = 1e-6 + 2.4e-7 * x.shape[1] if x.ndim == 2 else 0.0
+    x32, y32 = x.astype(np.float32), y.astype(np.float32)
     got_i, got_j = [], []
 
+    def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        cos = np.einsum("ij,ij->i", x[i], y[j])
+        for k in np.flatnonzero(np.abs(cos - floor) < 1e-9):  # at the limit: the exact sum decides
+            cos[k] = np.dot(x[i[k]], y[j[k]])
+        return cos >= floor
+
     def join(a: int, b: int, c: int, d: int) -> None:
         if same and c < a:
             return
@@ -49,19 +61,14 @@ def join_intervals(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray,
             if _box_gap(px[a:b].min(0), px[a:b].max(0), py[c:d].min(0), py[c:d].max(0)) > reach:
                 return
         if b - a <= LEAF_ROWS and d - c <= LEAF_ROWS:
-            cos = x[a:b] @ y[c:d].T
-            i, j = np.nonzero(cos >= floor - 1e-9)
-            near = cos[i, j] < floor + 1e-9
-            if near.any():  # at the limit: the exact sum decides
-                exact = np.array([np.dot(x[a + p], y[c + q]) for p, q in zip(i[near], j[near], strict=True)])
-                keep = np.ones(len(i), bool)
-                keep[near] = exact >= floor
-                i, j = i[keep], j[keep]
+            i, j = np.nonzero(x32[a:b] @ y32[c:d].T >= np.float32(floor - room))
             i, j = i + a, j + c
             if same and a == c:
                 i, j = i[i < j], j[i < j]
-            got_i.append(i)
-            got_j.append(j)
+            for at in range(0, len(i), STEP):
+                keep = linked(i[at : at + STEP], j[at : at + STEP])
+                got_i.append(i[at : at + STEP][keep])
+                got_j.append(j[at : at + STEP][keep])
             return
         halves = lambda s, e: [(s, e)] if e - s <= LEAF_ROWS else [(s, (s + e) // 2), ((s + e) // 2, e)]
         for s, e in halves(a, b):
@@ -112,6 +119,9 @@ def _link_classes(classes: DataFrame, dim: int, floor: float) -> DataFrame:
             at = np.floor(p[:, :grid] / side).astype(np.int32)
             yield pd.DataFrame({"cell": list(at), "cid": pdf["cid"], "n": pdf["n"], "v": pdf["v"]})
 
+    total = classes.count()
+    size = max(BLOCK_ROWS, min(MOST_ROWS, -(-total // 8)))
+
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, rows, number = [], 0, 0
 
@@ -126,17 +136,16 @@ def _link_classes(classes: DataFrame, dim: int, floor: float) -> DataFrame:
         for pdf in batches:
             held.append(pdf)
             rows += len(pdf)
-            while rows >= BLOCK_ROWS:
+            while rows >= size:
                 every = pd.concat(held)
-                yield pack(every[:BLOCK_ROWS])
-                held, rows = [every[BLOCK_ROWS:]], rows - BLOCK_ROWS
+                yield pack(every[:size])
+                held, rows = [every[size:]], rows - size
         if rows:
             yield pack(pd.concat(held))
 
     kind = classes.schema["v"].dataType.simpleString()
     celled = classes.mapInPandas(cells, f"cell array<int>, cid long, n long, v {kind}")
-    total = classes.count()
-    parts = max(1, -(-total // (4 * BLOCK_ROWS)))
+    parts = max(1, -(-total // (4 * size)))
     keys = [F.col("cell")[i].alias(f"g{i}") for i in range(grid)]
     order = [f"g{i}" for i in range(grid)]
     ordered = celled.select(*keys, "cid", "n", "v").repartitionByRange(parts, *order, "cid").sortWithinPartitions(*order, "cid")
@@ -190,7 +199,10 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Equal vectors are one class that is joined once. Classes are sorted by grid cells of the
     side of the largest distance of linked unit vectors, on the leading principal axes, and cut
     into blocks; a tree of bounding boxes over the sequence is joined with itself from the root
-    down, and pairs of nodes that are provably too far apart are skipped. ``n_links`` counts
+    down, and pairs of nodes that are provably too far apart are skipped. A block has an eighth
+    of the classes, ``MOST_ROWS`` at most, since each is sent once for each block that it meets:
+    where boxes exclude little, as on nearly isotropic vectors, that is the square of the number
+    of blocks. ``n_links`` counts
     the other rows that a row is linked with, ``component`` is the smallest id that links reach.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing,
