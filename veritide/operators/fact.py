@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritide.functions.calendar import lead_day, target_of, window
+
+from .windows import COVERAGE, resolve_observed
+
 KEY = ["station", "run_date", "lead_day", "variable"]
 
 
@@ -78,3 +82,47 @@ def regime_mismatches(pairs: DataFrame, regimes: DataFrame, hour: str = "cycle_h
     """Pairs whose cycle hour is not that of the regime of their run date."""
     r = regimes.withColumnRenamed(hour, "regime_hour")
     return tag_range(pairs, r, "run_date", "regime_hour", closed=True).where(F.col(hour) != F.col("regime_hour"))
+
+
+def targets(guidance: DataFrame) -> DataFrame:
+    """``station, runtime, ftime`` of guidance rows with what they verify: target date, variable, lead and window."""
+    date, variable = target_of("ftime")
+    out = guidance.select("station", "runtime", "ftime").withColumns({"target_date": date, "variable": variable})
+    start, end = window("target_date", "variable")
+    run = F.col("runtime").cast("date")
+    return out.withColumns({"lead_day": lead_day("target_date", run), "window_start": start, "window_end": end})
+
+
+def pairs_from(guidance: DataFrame, readings: DataFrame, reports: DataFrame, daily: DataFrame, versions: DataFrame, regimes: DataFrame, leads=(1, 2, 3), coverage: float = COVERAGE) -> DataFrame:
+    """Raw verification pairs from what readers give: windows of the guidance are resolved once each, then joined.
+
+    ``readings`` has station, valid and tmpf, ``reports`` station, valid and the 6-hour groups.
+    """
+    aims = targets(guidance).where(F.col("lead_day").isin(*leads))
+    keys = ["station", "variable", "window_start", "window_end"]
+    seen = resolve_observed(aims.select(keys).distinct(), readings, reports, "station", "valid", "tmpf", coverage)
+    return build_pairs(guidance, aims.join(seen, keys), daily, versions, regimes, leads)
+
+
+def violations(facts: DataFrame, pairs: DataFrame, predictions: DataFrame, raw: str = "raw_nbm", slack: float = 1e-4) -> DataFrame:
+    """``rule`` and key of every row of a fact table that breaks a rule; empty if it is sound.
+
+    ``facts`` needs scorable, forecast_f, observed_f, error_f, extreme_source and tmp_f,
+    ``predictions`` the raw forecast they were made from. A null where a value is due breaks a rule.
+    """
+    off = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) > slack, ~F.col(a).eqNullSafe(F.col(b)))
+    known = F.col("extreme_source").isNotNull()
+    rules = {
+        "error is not forecast minus observed": F.col("scorable") & F.coalesce(F.abs(F.col("error_f") - (F.col("forecast_f") - F.col("observed_f"))) > slack, F.lit(True)),
+        "scorable and missing values disagree": F.when(F.col("scorable"), F.col("observed_f").isNull() | F.col("error_f").isNull()).otherwise(F.col("error_f").isNotNull()),
+        "scorable and source of the extreme disagree": F.coalesce(F.col("scorable"), F.lit(False)) != known,
+    }
+    key = [*KEY, "source"]
+    each = F.explode(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()])).alias("rule")
+    own = facts.select(*key, each).where("rule is not null")
+    base = pairs.select(*KEY, F.col("forecast_f").alias("pair_forecast"), F.col("tmp_f").alias("pair_tmp"), F.lit(True).alias("known"))
+    both = predictions.select(*key, "raw_forecast_f").join(base, KEY, "left")
+    lost = both.where("known is null").select(*key, F.lit("prediction without a pair").alias("rule"))
+    other = both.where("known").where(off("raw_forecast_f", "pair_forecast")).select(*key, F.lit("raw forecast of a prediction is not that of its pair").alias("rule"))
+    warm = facts.select(*key, "tmp_f").join(base, KEY).where(~F.col("tmp_f").eqNullSafe(F.col("pair_tmp"))).select(*key, F.lit("tmp_f is not that of the pair").alias("rule"))
+    return own.unionByName(lost).unionByName(other).unionByName(warm)

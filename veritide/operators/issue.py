@@ -21,12 +21,21 @@ def with_provenance(predictions: DataFrame, generated_at: str, **params) -> Data
 
 def history_for(pairs: DataFrame, run_date: str, days: int = 60) -> DataFrame:
     """The rows that a night's predictions can depend on: its own, and closed pairs of the last
-    ``days`` or among the seven latest of their group. Partition pruning keeps older files out
-    once the first bound is met; the group's latest come from the trimmed rest."""
+    ``days`` or among the seven latest of their group.
+
+    The last ``days`` (and ten more, since a run is some days older than its close) are read by
+    date, which prunes partitions. Older pairs are read only for groups with fewer than seven there."""
     day = F.lit(run_date).cast("date")
     own = pairs.where(F.col("run_date") == day)
+    since = F.date_sub(day, days + 10)
     closed = pairs.where((F.col("run_date") < day) & F.col("scorable"))
-    return own.unionByName(trim_history(closed, GROUP, days))
+    recent = closed.where(F.col("run_date") >= since)
+    counts = recent.groupBy(*GROUP).agg(F.count("*").alias("n"))
+    lacking = own.select(*GROUP).distinct().join(counts, GROUP, "left").where(F.coalesce("n", F.lit(0)) < 7).drop("n")
+    if not lacking.isEmpty():
+        same = [closed[g].eqNullSafe(lacking[g]) for g in GROUP]
+        recent = recent.unionByName(trim_history(closed.where(F.col("run_date") < since).join(lacking, same, "left_semi"), GROUP, 0))
+    return own.unionByName(recent)
 
 
 def issue(spark: SparkSession, path: str, pairs: DataFrame, run_date: str, now: str, days: int = 30, min_pairs: int = 15, source: str = "baseline") -> dict:

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritide.functions.calendar import is_finite, micros
 
-#: Version of the row encoding below; a change of it must change this.
-ENCODING = 1
+#: Version of the encoding below; a change of it must change this.
+ENCODING = 2
+
+#: Leading hexadecimal digits of a row's hash that name its block: 4,096 blocks a date.
+BLOCK_DIGITS = 3
 
 KEY = ["station", "run_date", "lead_day", "variable", "source"]
 
@@ -29,8 +36,16 @@ def canonical(df: DataFrame):
 
 
 def partition_hashes(rows: DataFrame) -> DataFrame:
-    """``run_date, n_rows, hash``: SHA-256 over the sorted row texts of each run date."""
-    return rows.select("run_date", canonical(rows).alias("line")).groupBy("run_date").agg(F.count("*").alias("n_rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("hash"))
+    """``run_date, n_rows, hash`` of each run date: SHA-256 of rows, of blocks of rows, of all blocks.
+
+    Rows are dealt to blocks by the leading digits of their own hash; a block's hash is that of
+    its sorted row hashes, a date's that of its blocks in order. So no task holds more than a
+    block of a date, or the blocks of one.
+    """
+    lines = rows.select("run_date", F.sha2(canonical(rows), 256).alias("line")).withColumn("block", F.substring("line", 1, BLOCK_DIGITS))
+    blocks = lines.groupBy("run_date", "block").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("hash"))
+    named = F.transform(F.array_sort(F.collect_list(F.struct("block", "hash"))), lambda b: F.concat_ws(":", b["block"], b["hash"]))
+    return blocks.groupBy("run_date").agg(F.sum("n").alias("n_rows"), F.sha2(F.array_join(named, "\n"), 256).alias("hash"))
 
 
 def late_rows(rows: DataFrame, now: str) -> DataFrame:
@@ -56,11 +71,12 @@ def problems_of(rows: DataFrame, now: str, sources: list[str]) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, seals) under ``path``; empty tables where nothing was written."""
+    """(rows, seals) under ``path``; empty tables where nothing was written. Rows lie in a folder for each run date."""
     def table(name: str, schema: str) -> DataFrame:
         at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
         if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-            return spark.read.schema(schema).parquet(f"{path}/{name}")
+            got = spark.read.schema(schema).parquet(f"{path}/{name}")
+            return got.select([c.split()[0] for c in schema.split(", ")])
         return spark.createDataFrame([], schema)
 
     return table("rows", ROWS), table("seals", SEALS)
@@ -89,8 +105,8 @@ def append_partition(spark: SparkSession, path: str, run_date: str, rows: DataFr
     at = F.to_timestamp_ntz(F.lit(now))
     fresh = rows.where(F.col("window_end") > at).withColumn("issued_at", at)
     fresh = fresh.select(*[F.col(c).cast(t) for c, t in (x.split() for x in ROWS.split(", "))])
-    fresh.write.mode("append").parquet(f"{path}/rows")
-    written = spark.read.schema(ROWS).parquet(f"{path}/rows").where(F.col("run_date") == day)
+    fresh.write.mode("append").partitionBy("run_date").parquet(f"{path}/rows")
+    written = read_log(spark, path)[0].where(F.col("run_date") == day)  # one folder
     got = partition_hashes(written).first()
     n_rows, digest = (got.n_rows, got.hash) if got else (0, None)
     previous = last.chain if last is not None else GENESIS
@@ -106,13 +122,24 @@ def chain(previous: str, date: str, digest: str):
 
 
 def seal_rows(rows: DataFrame, issued_at: str | None = None) -> DataFrame:
-    """The seals that ``rows`` would have had, one per run date, chained in date order (a scan per date)."""
+    """The seals that ``rows`` would have had, one per run date, chained in date order.
+
+    A chain is followed from its start: one pass over one row for each run date.
+    """
     hashes = partition_hashes(rows).withColumn("version", F.lit(ENCODING))
-    ordered = W.partitionBy(F.lit(0)).orderBy("run_date")  # one row per run date
-    links = hashes.withColumn("past", F.collect_list(F.struct("run_date", "hash")).over(ordered))
-    value = F.aggregate("past", F.lit(GENESIS), lambda c, s: F.sha2(F.concat_ws(":", c, s["run_date"].cast("string"), s["hash"]), 256))
-    before = F.aggregate(F.slice("past", 1, F.size("past") - 1), F.lit(GENESIS), lambda c, s: F.sha2(F.concat_ws(":", c, s["run_date"].cast("string"), s["hash"]), 256))
-    return links.withColumns({"chain": value, "previous": before}).drop("past")
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = GENESIS
+        for pdf in batches:
+            links = []
+            for day, digest in zip(pdf["run_date"], pdf["hash"], strict=True):
+                before, at = at, hashlib.sha256(f"{at}:{day}:{digest}".encode()).hexdigest()
+                links.append((at, before))
+            yield pdf.assign(chain=[c for c, _ in links], previous=[p for _, p in links])
+
+    ordered = hashes.select("run_date", "n_rows", "hash", "version").repartition(1).sortWithinPartitions("run_date")
+    out = ordered.mapInPandas(follow, "run_date date, n_rows long, hash string, version int, chain string, previous string")
+    return out if issued_at is None else out.withColumn("issued_at", F.to_timestamp_ntz(F.lit(issued_at)))
 
 
 def verify_rows(rows: DataFrame, seals: DataFrame) -> DataFrame:

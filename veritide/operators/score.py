@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritide.functions.calendar import block_id, season
@@ -27,9 +28,9 @@ def prepare(rows: DataFrame, block_days: int = 14, extra: Sequence[str] = ()) ->
 
 
 def with_reference(rows: DataFrame, reference: str) -> DataFrame:
-    """``rows`` with ``ref``: the reference's error on the same key, null where it has none."""
-    ref = rows.where(F.col("source") == reference).select(*KEY, F.col("error_f").alias("ref"))
-    return rows.join(ref, KEY, "left")
+    """``rows`` with ``ref``: the reference's error on the same key, null where it has none (one shuffle by the key)."""
+    same = W.partitionBy(*KEY)
+    return rows.withColumn("ref", F.max(F.when(F.col("source") == reference, F.col("error_f"))).over(same))
 
 
 def _sums(reference: str) -> dict:
@@ -46,15 +47,20 @@ def _skill(reference: str):
 def slice_scores(rows: DataFrame, by: Sequence[str], reference: str = "raw_nbm") -> DataFrame:
     """``n, n_dates, n_blocks, bias, mae, skill`` of each slice of prepared rows; no intervals."""
     keys = list(dict.fromkeys([*by, "source"]))
-    got = with_reference(rows, reference).groupBy(keys).agg(
-        F.count("*").alias("n"),
-        F.countDistinct("run_date").alias("n_dates"),
-        F.countDistinct("block_id").alias("n_blocks"),
-        F.avg("error_f").alias("bias"),
-        F.avg(F.abs("error_f")).alias("mae"),
-        *[c.alias(k) for k, c in _sums(reference).items()],
+    return _of_blocks(block_sums(rows, by, reference), keys, reference)
+
+
+def _of_blocks(sums: DataFrame, keys: list[str], reference: str) -> DataFrame:
+    total = sums.groupBy(keys).agg(
+        F.sum("n").alias("n"),
+        F.sum("n_dates").alias("n_dates"),
+        F.count("*").alias("n_blocks"),
+        (F.sum("error_sum") / F.sum("n")).alias("bias"),
+        (F.sum("abs_sum") / F.sum("n")).alias("mae"),
+        F.sum("own_abs").alias("own_abs"),
+        F.sum("ref_abs").alias("ref_abs"),
     )
-    return got.withColumn("skill", _skill(reference)).drop("own_abs", "ref_abs")
+    return total.withColumn("skill", _skill(reference)).drop("own_abs", "ref_abs")
 
 
 def score_sets(rows: DataFrame, sets: Sequence[Sequence[str]], reference: str = "raw_nbm") -> DataFrame:
@@ -73,31 +79,51 @@ def score_sets(rows: DataFrame, sets: Sequence[Sequence[str]], reference: str =
 
 
 def block_sums(rows: DataFrame, by: Sequence[str], reference: str = "raw_nbm") -> DataFrame:
-    """Per slice and block: number, sum of errors, of absolute errors, and of matched pairs."""
+    """Per slice and block: number, dates, sum of errors, of absolute errors, and of matched pairs.
+
+    Sums of each run date come first; a date lies in one block, so dates are counted by adding up.
+    """
     keys = list(dict.fromkeys([*by, "source"]))
-    return with_reference(rows, reference).groupBy(*keys, "block_id").agg(
+    days = with_reference(rows, reference).groupBy(*keys, "block_id", "run_date").agg(
         F.count("*").alias("n"),
         F.sum("error_f").alias("error_sum"),
         F.sum(F.abs("error_f")).alias("abs_sum"),
         *[c.alias(k) for k, c in _sums(reference).items()],
     )
+    sums = [F.sum(c).alias(c) for c in ("n", "error_sum", "abs_sum", "own_abs", "ref_abs")]
+    return days.groupBy(*keys, "block_id").agg(F.count("*").alias("n_dates"), *sums)
+
 
+#: Sums of a block that the statistics of a slice are made of.
+SUMS = ["n", "error_sum", "abs_sum", "own_abs", "ref_abs"]
 
-def ratio_interval(num: np.ndarray, den: np.ndarray, rng: np.random.Generator, n_boot: int, level: float) -> tuple:
-    """Percentile interval of sum(num) / sum(den) over resampled blocks; (None, None) if there is none."""
-    n = len(num)
-    if n < 2:
-        return None, None
-    weights = rng.multinomial(n, np.full(n, 1.0 / n), size=n_boot)
-    top, bottom = weights @ num, weights @ den
-    ratio = np.full(n_boot, np.nan)
-    np.divide(top, bottom, out=ratio, where=bottom != 0)
-    if np.isnan(ratio).all():
-        return None, None
-    return tuple(float(x) for x in np.nanquantile(ratio, [(1 - level) / 2, (1 + level) / 2]))
 
+def resampled(blocks: np.ndarray, name: str, n_boot: int, seed: int) -> np.ndarray:
+    """(n_boot, columns): column sums over as many blocks as there are, drawn with replacement.
 
-def score(rows: DataFrame, by: Sequence[str] = (), reference: str = "raw_nbm", n_boot: int = 2000, seed: int = 20260927, ci_level: float = 0.95, block_days: int = 14, min_blocks: int = 21) -> DataFrame:
+    Replicate k of the slice ``name`` has a counter-based generator of its own, so that it is the
+    same whatever else is drawn.
+    """
+    out = np.empty((n_boot, blocks.shape[1]))
+    for k in range(n_boot):
+        key = int.from_bytes(hashlib.md5(f"{seed}/{name}/{k}".encode()).digest(), "little")
+        out[k] = blocks[np.random.Generator(np.random.Philox(key=key)).integers(0, len(blocks), len(blocks))].sum(axis=0)
+    return out
+
+
+def block_intervals(blocks: np.ndarray, name: str, n_boot: int, seed: int, level: float) -> list[tuple]:
+    """(low, high) of bias, mean absolute error and skill of a slice with block sums ``SUMS``; nulls below two blocks."""
+    if len(blocks) < 2:
+        return [(None, None)] * 3
+    n, errors, sizes, own, ref = resampled(blocks, name, n_boot, seed).T
+    found = []
+    for values in (errors / n, sizes / n, 1 - own[ref != 0] / ref[ref != 0]):
+        tail = 50 * (1 - level)
+        found.append(tuple(map(float, np.percentile(values, [tail, 100 - tail]))) if len(values) else (None, None))
+    return found
+
+
+def score(rows: DataFrame, by: Sequence[str] = (), reference: str = "raw_nbm", n_boot: int = 2000, seed: int = 1, ci_level: float = 0.95, block_days: int = 14, min_blocks: int = 21) -> DataFrame:
     """Scores of every slice of ``by`` (and source) with intervals and flags.
 
     ``by`` may hold station, month, season, lead_day and variable. Rows that are not scorable
@@ -120,25 +146,17 @@ def score(rows: DataFrame, by: Sequence[str] = (), reference: str = "raw_nbm", n
     names = [f"{k}_{e}" for k in ("bias", "mae", "skill") for e in ("lo", "hi")]
 
     def intervals(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        plain = tuple(k.item() if hasattr(k, "item") else k for k in key)
-        digest = hashlib.sha256(repr(plain).encode()).digest()
-        rng = np.random.default_rng([seed, int.from_bytes(digest[:8], "big")])
-        pdf = pdf.sort_values("block_id")
-        n = pdf["n"].to_numpy(float)
-        out = [*ratio_interval(pdf["error_sum"].to_numpy(float), n, rng, n_boot, ci_level)]
-        out += ratio_interval(pdf["abs_sum"].to_numpy(float), n, rng, n_boot, ci_level)
+        plain = [k.item() if hasattr(k, "item") else k for k in key]
+        blocks = pdf.sort_values("block_id")[SUMS].fillna(0).to_numpy(float)
+        spans = block_intervals(blocks, "/".join(map(str, plain)), n_boot, seed, ci_level)
         if plain[keys.index("source")] == reference:
-            out += [0.0, 0.0]
-        else:
-            both = pdf[pdf["ref_abs"].notna()]
-            lo, hi = ratio_interval(both["own_abs"].to_numpy(float), both["ref_abs"].to_numpy(float), rng, n_boot, ci_level)
-            out += [None if hi is None else 1 - hi, None if lo is None else 1 - lo]
-        return pd.DataFrame([[*plain, *out]], columns=[*keys, *names]).astype({c: "float64" for c in names})
+            spans[2] = (0.0, 0.0)
+        return pd.DataFrame([[*plain, *(x for span in spans for x in span)]], columns=[*keys, *names]).astype({c: "float64" for c in names})
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{c} double" for c in names)])
     ci = sums.groupBy(*keys).applyInPandas(intervals, schema)
     ci = ci.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in names})
-    out = slice_scores(ready, by, reference)
+    out = _of_blocks(sums, keys, reference)
     same = [out[k].eqNullSafe(ci[k]) for k in keys]
     out = out.join(ci, same).drop(*[ci[k] for k in keys])
     spans = F.coalesce((F.col("bias_lo") <= 0) & (F.col("bias_hi") >= 0), F.lit(True))
@@ -153,8 +171,6 @@ def bootstrap_md5(sums: DataFrame, keys: Sequence[str], num: str, den: str, n_bo
     Draw j of replicate b of a slice takes the block numbered md5(slice, b, j) modulo the number
     of blocks, so any engine can repeat it.
     """
-    from pyspark.sql import Window as W
-
     numbered = sums.where(F.col(den).isNotNull()).select(*keys, (F.row_number().over(W.partitionBy(*keys).orderBy("block_id")) - 1).alias("i"), F.col(num).alias("num"), F.col(den).alias("den"))
     sizes = numbered.groupBy(*keys).agg(F.count("*").alias("m")).where("m > 1")
     draws = sizes.select(*keys, "m", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))

@@ -65,13 +65,13 @@ def tiled_extreme(windows: DataFrame, reports: DataFrame, entity: str = "entity"
     return out.drop("high", "low").fillna(0, ["periods_found"])
 
 
-def resolve_observed(windows: DataFrame, readings: DataFrame, reports: DataFrame, entity: str = "entity", valid: str = "valid", value: str = "reading") -> DataFrame:
+def resolve_observed(windows: DataFrame, readings: DataFrame, reports: DataFrame, entity: str = "entity", valid: str = "valid", value: str = "reading", coverage: float = COVERAGE) -> DataFrame:
     """``windows`` with what was observed: the tiled extreme if complete, else the hourly one.
 
     Adds ``observed_f``, ``extreme_source`` (tiled, hourly or null), ``scorable``,
     ``hours_expected`` and the columns of both methods.
     """
-    out = tiled_extreme(hourly_extreme(windows, readings, entity, valid, value), reports, entity, valid)
+    out = tiled_extreme(hourly_extreme(windows, readings, entity, valid, value, coverage), reports, entity, valid)
     source = F.when(F.col("tiled_f").isNotNull(), "tiled").when(F.col("hourly_f").isNotNull(), "hourly")
     out = out.withColumn("observed_f", F.coalesce("tiled_f", "hourly_f")).withColumn("extreme_source", source)
     return out.withColumn("scorable", F.col("observed_f").isNotNull()).withColumn("hours_expected", F.lit(HOURS))

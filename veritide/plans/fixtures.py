@@ -15,12 +15,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Customers of a station, so that stations grow with the table.
+CUSTOMERS = 100
+
+
+def station(key: str, shift: int = 0):
+    """The station that a customer's orders belong to."""
+    return F.concat(F.lit("S"), F.lpad(F.expr(f"cast(({key} + {shift}) div {CUSTOMERS} as string)"), 7, "0"))
+
+
+def station_sql(key: str, shift: int = 0) -> str:
+    return f"concat('S', lpad(cast(({key} + {shift}) // {CUSTOMERS} as varchar), 7, '0'))"
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw verification pairs: orders as forecasts, their largest line as the outcome."""
+    """Raw verification pairs: orders as forecasts, their largest line as the outcome.
+
+    Nearly every order is a pair of its own: those of one station, date, lead and variable are one.
+    """
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     seen = li.groupBy("l_orderkey").agg((F.max("l_extendedprice") * 2.0).alias("obs"))
     base = o.join(seen, o.o_orderkey == seen.l_orderkey, "left").select(
-        F.concat(F.lit("S"), F.lpad((F.col("o_custkey") % 12).cast("string"), 2, "0")).alias("station"),
+        station("o_custkey").alias("station"),
         F.col("o_orderdate").cast("date").alias("run_date"),
         (1 + F.col("o_orderkey") % 3).cast("int").alias("lead_day"),
         F.when(F.col("o_orderkey") % 2 == 0, "max").otherwise("min").alias("variable"),
@@ -40,8 +56,8 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("source", F.lit("raw_nbm")).unionByName(half)
 
 
-PAIRS = """li as (select l_orderkey, max(l_extendedprice) * 2.0 as obs from lineitem group by l_orderkey),
-base as (select concat('S', lpad(cast(o_custkey % 12 as varchar), 2, '0')) as station, cast(o_orderdate as date) as run_date,
+PAIRS = f"""li as (select l_orderkey, max(l_extendedprice) * 2.0 as obs from lineitem group by l_orderkey),
+base as (select {station_sql("o_custkey")} as station, cast(o_orderdate as date) as run_date,
   cast(1 + o_orderkey % 3 as int) as lead_day, case when o_orderkey % 2 = 0 then 'max' else 'min' end as variable,
   o_totalprice as fc, obs from orders left join li on o_orderkey = l_orderkey),
 pairs0 as (select station, run_date, lead_day, variable, max(fc) as forecast_f, max(obs) as observed_f, count(obs) > 0 as scorable
@@ -128,15 +144,15 @@ REPORTS = "rep as (select entity, valid, case when hour(valid) % 6 >= 3 then rea
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps: cheap orders count as missing days of their station, the priority as the reason."""
     o = table(spark, sf_dir, "orders").where("o_totalprice < 60000")
-    return o.select(F.concat(F.lit("S"), F.lpad((F.col("o_custkey") % 12).cast("string"), 2, "0")).alias("station"), F.col("o_orderdate").cast("date").alias("gap_date"), F.substring("o_orderpriority", 1, 1).alias("reason"))
+    return o.select(station("o_custkey").alias("station"), F.col("o_orderdate").cast("date").alias("gap_date"), F.substring("o_orderpriority", 1, 1).alias("reason"))
 
 
-GAPS = "gaps as (select concat('S', lpad(cast(o_custkey % 12 as varchar), 2, '0')) as station, cast(o_orderdate as date) as gap_date, substr(o_orderpriority, 1, 1) as reason from orders where o_totalprice < 60000)"
+GAPS = f"gaps as (select {station_sql('o_custkey')} as station, cast(o_orderdate as date) as gap_date, substr(o_orderpriority, 1, 1) as reason from orders where o_totalprice < 60000)"
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    return c.select(F.concat(F.lit("S"), F.lpad((F.col("c_custkey") % 14).cast("string"), 2, "0")).alias("station")).distinct()
+    return c.select(station("c_custkey", 150).alias("station")).distinct()
 
 
-STATIONS = "stations as (select distinct concat('S', lpad(cast(c_custkey % 14 as varchar), 2, '0')) as station from customer)"
+STATIONS = f"stations as (select distinct {station_sql('c_custkey', 150)} as station from customer)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veritide.functions import calendar
 from veritide.operators import asof, fact, models, report, score
 from veritide.plans import fixtures as fx
 from veritide.registry import query
@@ -49,12 +50,12 @@ def score_splits(spark, sf):
 
 @query(None)
 def score_intervals(spark, sf):
-    return score.score(fx.fact(spark, sf), ["variable", "lead_day"], n_boot=500)
+    return score.score(fx.fact(spark, sf), ["variable", "lead_day"])
 
 
 @query("with " + fx.FACT + " select station, source, block_id, count(*) as n, sum(error_f)::bigint as error_sum, sum(abs(error_f))::bigint as abs_sum, sum(case when ref is not null and source <> 'raw_nbm' then abs(error_f) end)::bigint as own_abs, sum(case when ref is not null and source <> 'raw_nbm' then abs(ref) end)::bigint as ref_abs from withref group by station, source, block_id")
 def block_sums(spark, sf):
-    return score.block_sums(score.prepare(fx.fact(spark, sf)), ["station"])
+    return score.block_sums(score.prepare(fx.fact(spark, sf)), ["station"]).drop("n_dates")
 
 
 _MD5 = """, bs as (select variable, source, block_id, count(*) as n, sum(error_f)::bigint as error_sum from fact group by all),
@@ -201,11 +202,17 @@ def retrain_dates(spark, sf):
     return models.retrain_dates(fx.pairs(spark, sf)).select("run_date", "retrained_on", "cutoff")
 
 
+def _all_runs(spark, sf):
+    """First and last run date, as text."""
+    days = fx.table(spark, sf, "orders").agg(F.min("o_orderdate").cast("date"), F.max("o_orderdate").cast("date")).first()
+    return str(days[0]), str(days[1])
+
+
 def _cents(spark, sf):
     return fx.pairs(spark, sf).withColumn("forecast_f", F.round(F.col("forecast_f") * 100).cast("long"))
 
 
-@query("with " + _CLOSED + """, ev as (select * from pairs where run_date between date '1998-01-01' and date '1999-12-31'),
+@query("with " + _CLOSED + """, ev as (select * from pairs),
 ru as (select run_date, runtime, min(run_date) over (partition by date_trunc('month', run_date)) as retrained_on, min(runtime) over (partition by date_trunc('month', run_date)) as cut
   from (select distinct run_date, runtime from ev)),
 an as (select cut, max(window_end) as anchor from (select distinct cut from ru) r join (select distinct window_end from closed) c on c.window_end < r.cut group by cut),
@@ -216,34 +223,124 @@ select e.station, e.run_date, e.lead_day, e.variable, ru.retrained_on, an.anchor
 from ev e join ru on e.run_date = ru.run_date left join an on ru.cut = an.cut
 left join rb on rb.cut = ru.cut and rb.station = e.station and rb.lead_day = e.lead_day and rb.variable = e.variable""", ("run_date", "retrained_on"))
 def walk_forward_baseline(spark, sf):
-    got = models.walk_forward(_cents(spark, sf), models.RollingBias(60, 2), "1998-01-01", "1999-12-31")
+    got = models.walk_forward(_cents(spark, sf), models.RollingBias(60, 2), *_all_runs(spark, sf))
     return r6(got.select(*fact.KEY, "retrained_on", "trained_through", "forecast", "fallback"), "forecast")
 
 
+_REAL = fx.PAIRS + """, closed as (select *, case when day(run_date) = 13 then 'nan'::double when day(run_date) = 17 then null else error_f / 8.0 end as e from pairs where scorable)"""
+
+
+@query("with " + _REAL + _ROLL + """, rb as (select a.runtime, c.station, c.lead_day, c.variable, sum(case when isfinite(e) then e end) as s, count(case when isfinite(e) then 1 end) as m, count(*) as k
+  from an a join closed c on c.window_end <= a.anchor and c.window_end > a.anchor - interval 30 days group by all)
+  select p.station, p.run_date, p.lead_day, p.variable, round(s / nullif(m, 0)::double, 6) as bias, coalesce(k, 0)::bigint as n_pairs
+  from pairs p left join rb on p.runtime = rb.runtime and p.station = rb.station and p.lead_day = rb.lead_day and p.variable = rb.variable""", ("run_date",))
+def rolling_bias_real(spark, sf):
+    """Errors with fractions, some null, some not a number."""
+    p = fx.pairs(spark, sf)
+    day = F.dayofmonth("run_date")
+    closed = p.where("scorable").withColumn("error_f", F.when(day == 13, float("nan")).when(day != 17, F.col("error_f") / 8.0))
+    rows = p.select(*fact.KEY, F.col("runtime").alias("known_until"))
+    return r6(models.rolling_bias(closed, rows).select(*fact.KEY, "bias", "n_pairs"), "bias")
+
+
 @query(None)
 def gbt_challenger(spark, sf):
-    last = fx.pairs(spark, sf).agg(F.max("run_date").alias("d")).first()[0]  # refits of the last three months
-    months = last.year * 12 + last.month - 3
-    first = last.replace(year=months // 12, month=months % 12 + 1, day=1)
-    got = models.walk_forward(_cents(spark, sf), models.GbtCorrector(min_rows=500, trees=5, depth=3), str(first), str(last))
+    """All months, on all features; stations are customers' hundreds with a place made of their number."""
+    p = _cents(spark, sf).withColumns({"spread_f": F.pmod("forecast_f", F.lit(700)), "tmp_f": F.col("forecast_f") / 2, "cycle_hour": F.hour("runtime")})
+    n = F.substring("station", 2, 7).cast("int")
+    dim = fx.stations(spark, sf).select("station", (25 + n % 24).alias("lat"), (-70.0 - n % 50).alias("lon"), (n % 9 * 300).alias("elevation_m"), (n % 3 == 0).alias("is_coastal"), F.concat(F.lit("r"), n % 5).alias("climate_region"))
+    model = models.GbtCorrector(stations=dim, regions=[f"r{k}" for k in range(5)])
+    got = models.walk_forward(p, model, *_all_runs(spark, sf))
     return got.select(*fact.KEY, "forecast", "retrained_on", "fallback")
 
 
+# --- pairs from guidance and readings -------------------------------------------------
+
+_RAW = fx.EVENTS + ", " + fx.REPORTS + ", " + fx.DIMS + """, g as (select o_custkey // 10 as entity, date '2024-01-01' + (o_orderkey % 28)::int as run_date, (1 + o_orderkey % 3)::int as lead_day,
+  case when o_orderkey % 2 = 0 then 'max' else 'min' end as variable, max(round(o_totalprice * 100)::bigint) as forecast_f, min(round(o_totalprice * 100)::bigint) as tmp_f from orders group by all),
+aim as (select *, run_date + lead_day as target_date, cast(run_date + lead_day as timestamp) + case when variable = 'max' then interval 12 hour else interval 0 hour end as window_start,
+  cast(run_date + lead_day as timestamp) + case when variable = 'max' then interval 30 hour else interval 18 hour end as window_end, cast(run_date as timestamp) + interval 13 hour as runtime from g),
+win as (select distinct entity, variable, window_start, window_end from aim)""" + """, hr as (select w.entity, w.variable, w.window_start, count(e.reading) as n_obs,
+  case when count(distinct date_trunc('hour', e.valid)) >= 1 then case when w.variable = 'max' then max(e.reading) else min(e.reading) end end as hourly_f
+  from win w left join ev e on w.entity = e.entity and e.valid >= w.window_start and e.valid < w.window_end group by w.entity, w.variable, w.window_start),
+pe as (select *, window_start + to_hours(h) as period_end from win, (values (6), (12), (18)) p(h)),
+pm as (select p.entity, p.variable, p.window_start, p.period_end, arg_max(case when p.variable = 'max' then max_6h_f else min_6h_f end, r.valid) as v
+  from pe p join rep r on p.entity = r.entity and r.valid >= p.period_end - interval 60 minute and r.valid < p.period_end
+  where case when p.variable = 'max' then max_6h_f else min_6h_f end is not null group by all),
+ti as (select entity, variable, window_start, case when count(*) = 3 then case when variable = 'max' then max(v) else min(v) end end as tiled_f from pm group by entity, variable, window_start),
+da as (select entity, cast(valid as date) as target_date, max(reading) as high_f, min(reading) as low_f from ev group by all),
+raw as (select aim.entity as station, run_date, lead_day, aim.variable, forecast_f, tmp_f, coalesce(tiled_f, hourly_f) as observed_f, coalesce(tiled_f, hourly_f) is not null as scorable,
+  case when tiled_f is not null then 'tiled' when hourly_f is not null then 'hourly' end as extreme_source, forecast_f - coalesce(tiled_f, hourly_f) as error_f,
+  case when aim.variable = 'max' then high_f else low_f end as daily_f, v.version, r.regime
+  from aim join hr using (entity, variable, window_start) left join ti using (entity, variable, window_start) left join da using (entity, target_date)
+  left join versions v on aim.runtime >= v.valid_from and (v.valid_to is null or aim.runtime < v.valid_to)
+  left join regimes r on aim.run_date >= r.valid_from and (r.valid_to is null or aim.run_date <= r.valid_to))"""
+
+
+def _raw_pairs(spark, sf):
+    k = F.col("o_orderkey")
+    date = F.date_add(F.lit("2024-01-01").cast("date"), (k % 28).cast("int"))
+    hours = (1 + k % 3) * 24 + F.when(k % 2 == 0, 24).otherwise(12)
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    rows = fx.table(spark, sf, "orders").select(F.expr("o_custkey div 10").alias("station"), date.alias("day"), hours.cast("int").alias("hours"), cents.alias("cents"))
+    g = rows.groupBy("station", "day", "hours").agg(F.max("cents").alias("txn"), F.min("cents").alias("tmp"))
+    g = g.withColumns({"runtime": calendar.at_hour("day", 13), "ftime": F.to_timestamp_ntz(F.col("day").cast("string")) + F.make_dt_interval(F.lit(0), F.col("hours")), "xnd": F.lit(None).cast("long")})
+    e = fx.events(spark, sf).select(F.col("entity").alias("station"), "valid", F.col("reading").alias("tmpf"))
+    daily = e.groupBy("station", F.col("valid").cast("date").alias("local_date")).agg(F.max("tmpf").alias("high_f"), F.min("tmpf").alias("low_f"))
+    return fact.pairs_from(g, e, fx.reports(spark, sf).withColumnRenamed("entity", "station"), daily, fx.versions(spark), fx.regimes(spark), coverage=1 / 18)
+
+
+@query("with " + _RAW + " select station, run_date, lead_day, variable, forecast_f, tmp_f, observed_f, scorable, extreme_source, error_f, daily_f, version, regime from raw", ("run_date",))
+def raw_pairs(spark, sf):
+    """Orders as guidance, events as readings and reports: targets, windows, what was observed, tags."""
+    return _raw_pairs(spark, sf).select(*fact.KEY, "forecast_f", "tmp_f", "observed_f", "scorable", "extreme_source", "error_f", "daily_f", "version", "regime")
+
+
+_PLANTED = _RAW + """, f as (select station, run_date, lead_day, variable, 'raw_nbm' as source, forecast_f, observed_f, case when station % 17 = 0 then error_f + 1 else error_f end as error_f,
+  case when station % 19 = 0 then not scorable else scorable end as scorable, case when station % 23 = 0 then null else extreme_source end as extreme_source, case when station % 29 = 0 then null else tmp_f end as tmp_f from raw),
+pr as (select station, case when station % 31 = 0 then run_date + 400 else run_date end as run_date, lead_day, variable, 'baseline' as source, case when station % 37 = 0 then forecast_f + 5 else forecast_f end as raw_forecast_f from raw where lead_day < 3)"""
+
+
+@query("with " + _PLANTED + """ select 'error is not forecast minus observed' as rule, station, run_date, lead_day, variable, source from f where scorable and (error_f is null or observed_f is null or abs(error_f - (forecast_f - observed_f)) > 0.0001)
+  union all select 'scorable and missing values disagree', station, run_date, lead_day, variable, source from f where (scorable and (observed_f is null or error_f is null)) or (not scorable and error_f is not null)
+  union all select 'scorable and source of the extreme disagree', station, run_date, lead_day, variable, source from f where scorable <> (extreme_source is not null)
+  union all select 'prediction without a pair', station, run_date, lead_day, variable, source from pr where not exists (select 1 from raw r where r.station = pr.station and r.run_date = pr.run_date and r.lead_day = pr.lead_day and r.variable = pr.variable)
+  union all select 'raw forecast of a prediction is not that of its pair', pr.station, pr.run_date, pr.lead_day, pr.variable, source from pr join raw r on r.station = pr.station and r.run_date = pr.run_date and r.lead_day = pr.lead_day and r.variable = pr.variable where raw_forecast_f is distinct from r.forecast_f
+  union all select 'tmp_f is not that of the pair', f.station, f.run_date, f.lead_day, f.variable, source from f join raw r on r.station = f.station and r.run_date = f.run_date and r.lead_day = f.lead_day and r.variable = f.variable where f.tmp_f is distinct from r.tmp_f""", ("run_date",))
+def fact_violations(spark, sf):
+    """Rules of the fact table, over rows of which some are spoilt for each rule."""
+    p = _raw_pairs(spark, sf)
+    s = F.col("station")
+    f = p.withColumns({
+        "source": F.lit("raw_nbm"),
+        "error_f": F.when(s % 17 == 0, F.col("error_f") + 1).otherwise(F.col("error_f")),
+        "scorable": F.when(s % 19 == 0, ~F.col("scorable")).otherwise(F.col("scorable")),
+        "extreme_source": F.when(s % 23 != 0, F.col("extreme_source")),
+        "tmp_f": F.when(s % 29 != 0, F.col("tmp_f")),
+    })
+    moved = F.when(s % 31 == 0, F.date_add("run_date", 400)).otherwise(F.col("run_date"))
+    made_of = F.when(s % 37 == 0, F.col("forecast_f") + 5).otherwise(F.col("forecast_f"))
+    pred = p.where("lead_day < 3").select("station", moved.alias("run_date"), "lead_day", "variable", F.lit("baseline").alias("source"), made_of.alias("raw_forecast_f"))
+    return fact.violations(f, p, pred).select("rule", *fact.KEY, "source")
+
+
 # --- log and scorecard ------------------------------------------------------------
 
 
 def _issued(spark, sf):
     p = fx.pairs(spark, sf)
-    rows = p.where("run_date >= '2001-01-01'").select(*fact.KEY, "runtime", "target_date", F.lit("baseline").alias("source"), "window_end", F.floor(F.col("forecast_f") / 2).cast("double").alias("forecast_f"), F.floor("forecast_f").cast("double").alias("raw_forecast_f"))
+    rows = p.select(*fact.KEY, "runtime", "target_date", F.lit("baseline").alias("source"), "window_end", F.floor(F.col("forecast_f") / 2).cast("double").alias("forecast_f"), F.floor("forecast_f").cast("double").alias("raw_forecast_f"))
     return p, rows.withColumn("issued_at", F.col("runtime") + F.expr("interval 2 hours"))
 
 
-_ISSUED = fx.PAIRS + ", log as (select station, run_date, lead_day, variable, runtime, target_date, 'baseline' as source, window_end, floor(forecast_f / 2)::double as forecast_f, floor(forecast_f)::double as raw_forecast_f, runtime + interval 2 hours as issued_at from pairs where run_date >= date '2001-01-01')"
+_ISSUED = fx.PAIRS + ", log as (select station, run_date, lead_day, variable, runtime, target_date, 'baseline' as source, window_end, floor(forecast_f / 2)::double as forecast_f, floor(forecast_f)::double as raw_forecast_f, runtime + interval 2 hours as issued_at from pairs)"
 
 
 @query("with " + _ISSUED + """, l as (select run_date, concat_ws('|', station, cast(run_date as varchar), cast(lead_day as varchar), variable, source, cast(target_date as varchar), cast(epoch_us(runtime) as varchar),
-  cast(epoch_us(window_end) as varchar), cast(epoch_us(issued_at) as varchar), cast(forecast_f as varchar), cast(raw_forecast_f as varchar)) as line from log)
-  select run_date, count(*) as n_rows, sha256(string_agg(line, chr(10) order by line)) as hash from l group by run_date""", ("run_date",))
+  cast(epoch_us(window_end) as varchar), cast(epoch_us(issued_at) as varchar), cast(forecast_f as varchar), cast(raw_forecast_f as varchar)) as line from log),
+  h as (select run_date, sha256(line) as line from l),
+  b as (select run_date, substr(line, 1, 3) as block, count(*) as n, sha256(string_agg(line, chr(10) order by line)) as hash from h group by run_date, block)
+  select run_date, sum(n)::bigint as n_rows, sha256(string_agg(block || ':' || hash, chr(10) order by block)) as hash from b group by run_date""", ("run_date",))
 def log_hashes(spark, sf):
     from veritide.operators import log
 
@@ -259,7 +356,7 @@ def log_verify(spark, sf):
     from veritide.operators import log
 
     rows = _issued(spark, sf)[1]
-    seals = log.seal_rows(rows).drop("issued_at")
+    seals = log.seal_rows(rows)
     last = rows.agg(F.max("run_date")).first()[0]
     seals = seals.where(F.col("run_date") < F.lit(last))  # the last date was never sealed
     order = F.dense_rank().over(W.orderBy("run_date"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,14 +35,41 @@ def replace_slice(new: DataFrame, path: str, slice_values: dict, date: str, lo:
         emptied = [r[0] for r in gone.join(old.where(~inside).select(date).distinct(), date, "left_anti").collect()]  # dates of the slice
     else:
         emptied = []
-    staged = f"{path.rstrip('/')}-staged"
-    rows.write.mode("overwrite").parquet(staged)
-    spark.read.schema(rows.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
-    fs = spark._jvm.org.apache.hadoop.fs
-    conf = spark._jsc.hadoopConfiguration()
-    for at in [*(f"{path}/{date}={d}" for d in emptied), staged]:
-        p = fs.Path(at)
-        p.getFileSystem(conf).delete(p, True)
+    _overwrite_dates(rows, path, date)
+    for d in emptied:
+        _delete(spark, f"{path}/{date}={d}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _overwrite_dates(rows: DataFrame, path: str, date: str) -> None:
+    """Overwrite the dates of ``rows`` in a table, by way of a folder of its own beside it, since they are read from the table too."""
+    spark = rows.sparkSession
+    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    try:
+        rows.write.parquet(staged)
+        spark.read.schema(rows.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
+    finally:
+        _delete(spark, staged)
+
+
+def merge_rows(new: DataFrame, path: str, keys: list[str], date: str) -> None:
+    """Put ``new`` into a table that is partitioned by ``date``: a row replaces the one of the same keys and date.
+
+    Dates that ``new`` does not hold are neither read nor written; of rows of ``new`` that agree
+    in keys and date one stays. A repeat gives the same table. One writer at a time.
+    """
+    spark = new.sparkSession
+    new = new.dropDuplicates([*keys, date])
+    rows = new
+    if exists(spark, path):
+        old = spark.read.schema(new.schema).parquet(path).join(F.broadcast(new.select(date).distinct()), date, "left_semi")  # dates of a batch
+        same = [old[c].eqNullSafe(new[c]) for c in [*keys, date]]
+        rows = old.join(new, same, "left_anti").select(new.columns).unionByName(new)
+    _overwrite_dates(rows, path, date)
 
 
 def merge_first_seen(old: DataFrame, new: DataFrame, keys: list[str], now: str, inside=None) -> DataFrame:

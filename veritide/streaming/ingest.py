@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from veritide.sources.sinks import replace_slice
+from veritide.sources.sinks import merge_rows
 
 
 def split_late(rows: DataFrame, clock: str = "arrived_at") -> DataFrame:
@@ -38,19 +38,20 @@ def running_means(pairs: DataFrame, group: list[str], keep: int = 7, order: str
             held += zip(pdf[order].astype("int64").tolist(), pdf[error].astype(float).tolist(), strict=True)
         held = sorted(held)[-keep:]
         state.update(([t for t, _ in held], [v for _, v in held]))
-        last = pd.Series([v for _, v in held]).dropna()
-        yield pd.DataFrame([[*key, len(held), last[-3:].mean(), last.mean()]], columns=[*group, "n", "mean_3", "mean_7"])
+        last = pd.Series([v for _, v in held], dtype=float)  # positions first, then nulls are skipped, as in the batch form
+        yield pd.DataFrame([[*key, len(held), last[-3:].mean(), last[-7:].mean()]], columns=[*group, "n", "mean_3", "mean_7"])
 
     return pairs.groupBy(*group).applyInPandasWithState(absorb, f"{fields}, n long, mean_3 double, mean_7 double", "times array<long>, errors array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
-def slice_writer(path: str, slice_col: str, date: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that replaces the slices a batch holds; a batch that is replayed changes nothing."""
+def slice_writer(path: str, keys: list[str], date: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: rows of a batch replace those of the same ``keys`` and date and join the others.
+
+    One job per batch, whatever slices it holds; a batch that is replayed changes nothing, and a
+    later batch that adds to a day leaves what that day has.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
-        for (v,) in batch.select(slice_col).distinct().orderBy(slice_col).collect():
-            part = batch.where(F.col(slice_col) == v)
-            lo, hi = part.agg(F.min(date), F.max(date)).first()
-            replace_slice(part, path, {slice_col: v}, date, str(lo), str(hi))
+        merge_rows(batch, path, keys, date)
 
     return write
