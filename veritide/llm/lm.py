@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import WORD, column, stage
 
 #: Words of a part of the corpus, whose n-grams are counted before they are shuffled, and n-grams of a bucket.
-PART_WORDS, BUCKET_GRAMS = 1_000_000, 3_000_000
+PART_WORDS, BUCKET_GRAMS = 1_250_000, 3_000_000
 
 CELL = "part long, bucket int, width int, grams binary, times binary"
 SUMMED = "part long, bucket int, width int, totals binary"
@@ -211,7 +211,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
         return pd.DataFrame({"id": whats.iloc[0]["ids"], "n_words": p.sizes, "log_sum": total, "mean_log10": pd.array(mean, "Float64")})
 
     short = stage(parts.select("part", "sizes", "words", "hashes").mapInPandas(short_grams, CELL).groupBy("bucket").applyInPandas(_sum_up, SUMMED))
-    triples = parts.groupBy("part").cogroup(short.groupBy("part")).applyInPandas(long_grams, CELL)
+    triples = parts.groupBy("part").cogroup(short.where("width = 2").groupBy("part")).applyInPandas(long_grams, CELL)
     totals = short.unionByName(triples.groupBy("bucket").applyInPandas(_sum_up, SUMMED))
     scored = parts.groupBy("part").cogroup(totals.groupBy("part"))
     return scored.applyInPandas(score, f"id {id_type}, n_words long, log_sum double, mean_log10 double")
