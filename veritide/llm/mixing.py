@@ -27,7 +27,7 @@ LOOKUP = 4096
 SLOTS_A_TASK = 65_536
 
 #: Rows that share a bucket when offsets are summed up.
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 1_000
 
 
 def hash_sql(v: str, key: str, r: str) -> str:
