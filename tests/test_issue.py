@@ -48,10 +48,51 @@ def test_artifact_is_verified(spark, tmp_path):
     model = c.fit(pairs.select("station", "run_date", "runtime", "lead_day", "variable", "target_date", "forecast_f", "window_end", "error_f"))
     path = str(tmp_path / "m")
     issue.save_artifact(c, model, path, "2023-02-01", pairs)
-    assert issue.load_artifact(c, path, pairs, "2023-02-20").getNumTrees == 2
+    assert issue.load_artifact(c, path, pairs, "2023-02-20")[0].getNumTrees == 2
     with pytest.raises(ValueError, match="month"):
         issue.load_artifact(c, path, pairs, "2023-03-01")
     with pytest.raises(ValueError, match="stations"):
         issue.load_artifact(c, path, pairs.where("station = 'KAAA'"), "2023-02-20")
     df = issue.with_provenance(pairs.limit(1), "2023-02-01 00:00:00", window=30, min_pairs=15)
     assert df.first().params == '{"min_pairs":15,"window":30}'
+
+
+def test_challenger_is_issued_as_the_walk_has_it(spark, tmp_path):
+    pairs, path = panel(spark).cache(), str(tmp_path / "log")
+    c = models.GbtCorrector(min_rows=20, trees=3, depth=2)
+    first = dt.datetime(2023, 3, 1, 13)  # the refit of March knows what had closed by its first run
+    closed = pairs.select(*models.GROUP, "run_date", "runtime", "target_date", "forecast_f", "window_end", "error_f")
+    model = c.fit(closed.where(F.col("window_end") < F.lit(first)))
+    at = str(tmp_path / "m")
+    issue.save_artifact(c, model, at, "2023-03-01", pairs)
+    got = issue.issue(spark, path, pairs, "2023-03-01", "2023-03-01 14:00:00", challenger=(c, at))
+    assert got["rows"] == 8
+    with pytest.raises(ValueError, match="not sealed"):
+        other = str(tmp_path / "o")
+        issue.save_artifact(c, model, other, "2023-03-03", pairs)
+        issue.issue(spark, path, pairs, "2023-03-04", "2023-03-04 14:00:00", challenger=(c, other))
+    issue.issue(spark, path, pairs, "2023-03-02", "2023-03-02 14:00:00", challenger=(c, at))
+    rows, seals = log.read_log(spark, path)
+    assert log.verify_rows(rows, seals).count() == 0
+    want = {(r.station, r.run_date, r.variable): r.forecast for r in models.walk_forward(pairs, c, "2023-03-01", "2023-03-02").collect()}
+    mine = {(r.station, r.run_date, r.variable): r.forecast_f for r in rows.where("source = 'challenger'").collect()}
+    assert mine == {k: pytest.approx(v) for k, v in want.items()} and len(mine) == 8
+    notes = {(str(r.run_date), r.source): r.params for r in spark.read.parquet(f"{path}/provenance").collect()}
+    assert len(notes) == 4 and '"trees":3' in notes["2023-03-02", "challenger"] and notes["2023-03-01", "baseline"] == '{"days":30,"min_pairs":15}'
+    pairs.unpersist()
+
+
+def test_refits_match_a_fit_by_hand(spark):
+    pairs = panel(spark).withColumns({"spread_f": F.lit(1.0), "tmp_f": F.col("forecast_f") - 3, "cycle_hour": F.lit(13)})
+    dim = spark.createDataFrame([("KAAA", 40.0, -100.0, 300, True, "north"), ("KBBB", 41.0, None, 20, False, None)], "station string, lat double, lon double, elevation_m int, is_coastal boolean, climate_region string")
+    c = models.GbtCorrector(min_rows=100, trees=3, depth=2, stations=dim, regions=["south", "north"])
+    assert len(c.FEATURES) == 18
+    walk = models.walk_forward(pairs, c, "2023-01-01", "2023-03-20")
+    got = {(r.station, r.run_date, r.variable): r for r in walk.collect()}
+    assert len(got) == 79 * 4 and all(r.fallback for r in got.values() if r.run_date < dt.date(2023, 2, 1))
+    closed = pairs.select(*models.GROUP, "run_date", "runtime", "target_date", "window_end", "error_f", "forecast_f", "spread_f", "tmp_f", "cycle_hour")
+    cut = dt.datetime(2023, 3, 1, 13)
+    model = c.fit(closed.where(F.col("window_end") < F.lit(cut)))
+    rows = pairs.where("run_date = date'2023-03-10'").select(*models.PREDICT_COLUMNS).withColumn("known_until", F.lit(cut))
+    for r in c.predict(model, rows, closed).collect():
+        assert got[r.station, r.run_date, r.variable].forecast == pytest.approx(r.forecast) and not r.fallback

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .asof import trim_history
 from .fact import KEY
-from .log import append_partition
+from .log import append_partition, read_log
 from .models import GROUP, GbtCorrector, RollingBias, walk_forward
 
 
@@ -38,18 +39,35 @@ def history_for(pairs: DataFrame, run_date: str, days: int = 60) -> DataFrame:
     return own.unionByName(recent)
 
 
-def issue(spark: SparkSession, path: str, pairs: DataFrame, run_date: str, now: str, days: int = 30, min_pairs: int = 15, source: str = "baseline") -> dict:
+def issue(spark: SparkSession, path: str, pairs: DataFrame, run_date: str, now: str, days: int = 30, min_pairs: int = 15, source: str = "baseline", challenger: tuple[GbtCorrector, str] | None = None) -> dict:
     """Predict ``run_date`` with the rolling bias of what had closed, append to the log and seal.
 
-    Equals the walk-forward evaluation with daily refits restricted to that date. Rows whose
-    window has closed by ``now`` are counted as late and left out.
+    Equals the walk-forward evaluation with daily refits restricted to that date. ``challenger``
+    is a boosted corrector and the path of its artifact, which must be of this month, of these
+    stations and trained on a date that the log had sealed (or before the first one); its rows
+    go into the same partition. What each source was made with goes beside the log first. Rows
+    whose window has closed by ``now`` are counted as late and left out.
     """
     night = pairs.where(F.col("run_date") == F.lit(run_date).cast("date"))
     if night.isEmpty():
         raise ValueError(f"no run on {run_date}")
-    got = walk_forward(history_for(pairs, run_date, max(60, 2 * days)), RollingBias(days, min_pairs), run_date, run_date, "daily")
-    rows = got.join(night.select(*KEY, "window_end"), KEY).select(*KEY, "runtime", "target_date", F.lit(source).alias("source"), "window_end", F.col("forecast").cast("double").alias("forecast_f"), F.col("raw").cast("double").alias("raw_forecast_f"))
-    return append_partition(spark, path, run_date, rows, now, [source])
+    history = history_for(pairs, run_date, max(60, 2 * days))
+    made = [(source, walk_forward(history, RollingBias(days, min_pairs), run_date, run_date, "daily"), {"days": days, "min_pairs": min_pairs})]
+    if challenger is not None:
+        corrector, at = challenger
+        model, facts = load_artifact(corrector, at, pairs, run_date, read_log(spark, path)[1])
+        closed = history.where(F.col("scorable") & (F.col("run_date") < F.lit(run_date).cast("date")))
+        own = corrector.predict(model, night.drop("error_f", "observed_f", "scorable"), closed).withColumn("raw", F.col("forecast_f"))
+        made.append(("challenger", own, {"trained_on": facts["trained_on"], "hash": facts["hash"], "trees": corrector.trees, "depth": corrector.depth}))
+    rows = None
+    for name, got, params in made:
+        part = got.select(*KEY, "forecast", "raw").join(night.select(*KEY, "runtime", "target_date", "window_end"), KEY)
+        part = part.select(*KEY, "runtime", "target_date", F.lit(name).alias("source"), "window_end", F.col("forecast").cast("double").alias("forecast_f"), F.col("raw").cast("double").alias("raw_forecast_f"))
+        rows = part if rows is None else rows.unionByName(part)
+    noted = spark.range(1).select(F.lit(run_date).cast("date").alias("run_date"), F.explode(F.array(*[F.struct(F.lit(n).alias("source"), F.lit(json.dumps(p, sort_keys=True, separators=(",", ":"))).alias("params")) for n, _, p in made])).alias("m"))
+    noted = noted.select("run_date", "m.source", "m.params", F.to_timestamp_ntz(F.lit(now)).alias("generated_at"))
+    noted.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(f"{path}/provenance")
+    return append_partition(spark, path, run_date, rows, now, [n for n, _, _ in made])
 
 
 def save_artifact(corrector: GbtCorrector, model, path: str, trained_on: str, stations: DataFrame) -> None:
@@ -67,15 +85,21 @@ def model_hash(spark: SparkSession, path: str) -> str:
     return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("row")), "\n"), 256)).first()[0]  # a row per tree node
 
 
-def load_artifact(corrector: GbtCorrector, path: str, stations: DataFrame, run_date: str):
-    """The model saved under ``path``; refuses another month, changed trees or other stations."""
+def load_artifact(corrector: GbtCorrector, path: str, stations: DataFrame, run_date: str, seals: DataFrame | None = None) -> tuple:
+    """(model, facts) saved under ``path``; refuses another month, changed trees, other stations and,
+    with ``seals``, a training date after the first sealed one that was never sealed."""
     spark = stations.sparkSession
-    facts = spark.read.json(f"{path}/facts").first()
+    facts = spark.read.json(f"{path}/facts").first().asDict()
     now = stations.select("station").distinct().agg(F.sha2(F.array_join(F.array_sort(F.collect_list("station")), ","), 256)).first()[0]
-    if dt.date.fromisoformat(facts.trained_on).replace(day=1) != dt.date.fromisoformat(run_date).replace(day=1):
-        raise ValueError(f"trained on {facts.trained_on}, not in the month of {run_date}")
-    if facts.stations != now:
+    trained = dt.date.fromisoformat(facts["trained_on"])
+    if trained.replace(day=1) != dt.date.fromisoformat(run_date).replace(day=1):
+        raise ValueError(f"trained on {facts['trained_on']}, not in the month of {run_date}")
+    if facts["stations"] != now:
         raise ValueError("the stations differ from those of the training")
-    if facts.hash != model_hash(spark, f"{path}/model"):
+    if facts["hash"] != model_hash(spark, f"{path}/model"):
         raise ValueError("the saved model has changed")
-    return corrector.load(f"{path}/model")
+    if seals is not None:
+        at = seals.agg(F.min("run_date").alias("first"), F.coalesce(F.max(F.col("run_date") == F.lit(facts["trained_on"]).cast("date")), F.lit(False)).alias("sealed")).first()
+        if at.first is not None and trained >= at.first and not at.sealed and trained != dt.date.fromisoformat(run_date):
+            raise ValueError(f"{trained} was not sealed")
+    return corrector.load(f"{path}/model"), facts

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritide.functions import calendar
+from veritide.functions.text import SEASON_WORDS, VARIABLE_WORDS
 from veritide.operators import asof, fact, models, report, score
 from veritide.plans import fixtures as fx
 from veritide.registry import query
@@ -392,6 +393,10 @@ _CITY = fx.FACT + f""", st as (select station, variable, lead_day, season, {SCOR
 ci as (select *, bias - 2000000.0 as bias_lo, bias + 2000000.0 as bias_hi, n_blocks < 10 as min_sample_flag, not (bias - 2000000.0 > 0 or bias + 2000000.0 < 0) as no_detectable_bias from st)"""
 
 
+def _case(column: str, words: dict) -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then '{v}'" for k, v in words.items()) + " end"
+
+
 def _city(spark, sf):
     rows = fx.fact(spark, sf).where("source = 'raw_nbm'")
     st = r6(score.slice_scores(score.prepare(rows), ["station", "variable", "lead_day", "season"]), "bias", "mae", "skill")
@@ -401,13 +406,15 @@ def _city(spark, sf):
 
 @query("with " + _CITY + """, r as (select *, row_number() over (partition by station order by (not no_detectable_bias and not min_sample_flag) desc, abs(bias) desc, variable, case season when 'DJF' then 0 when 'MAM' then 1 when 'JJA' then 2 else 3 end) as k,
   bool_or(not min_sample_flag) over (partition by station) as enough from ci where lead_day = 1)
-  select station, not no_detectable_bias and not min_sample_flag as significant,
+  select station, not no_detectable_bias and not min_sample_flag as significant, case when not no_detectable_bias and not min_sample_flag then
+    concat(""" + _case("variable", VARIABLE_WORDS) + """, ' run ', printf('%.1f°F ', round(abs(bias), 1)), case when bias > 0 then 'warm' else 'cold' end, ' in ', """ + _case("season", SEASON_WORDS) + """, ' (day-ahead forecasts).')
+    when enough then 'No detectable bias in day-ahead forecasts.' else 'Not enough data yet.' end as text,
   case when not no_detectable_bias and not min_sample_flag then variable end as variable, case when not no_detectable_bias and not min_sample_flag then season end as season,
   case when not no_detectable_bias and not min_sample_flag then case when bias > 0 then 'warm' else 'cold' end when enough then 'none' else 'few' end as side from r where k = 1""")
 def city_summary(spark, sf):
     got = report.city_summary(_city(spark, sf))
     side = F.when(F.col("text").contains(" warm "), "warm").when(F.col("text").contains(" cold "), "cold").when(F.col("text").startswith("No detectable"), "none").otherwise("few")
-    return got.select("station", "significant", "variable", "season", side.alias("side"))
+    return got.select("station", "significant", "text", "variable", "season", side.alias("side"))
 
 
 @query("with " + _CITY + " select station, variable, round(case when bool_or(not min_sample_flag) then sum(n * mae) / sum(n) end, 3) as mae from ci where lead_day = 1 group by station, variable")
@@ -432,9 +439,10 @@ def rounded_intervals(spark, sf):
     return got.select("station", "variable", "lead_day", "season", *[(F.round(c, 2) + 0.0).alias(c) for c in ("bias", "bias_lo", "bias_hi")])
 
 
-@query("with " + _CITY + " select station, count(*) as n_stats from ci group by station")
+@query("with " + _CITY + " select station, variable, lead_day, season, n, bias, mae from ci")
 def station_documents(spark, sf):
+    """What the documents of all stations hold, read back from their text."""
     docs = report.station_documents(_city(spark, sf).select("station", "variable", "lead_day", "season", "n", "bias", "mae"))
     back = F.from_json("document", "station string, stats array<struct<variable:string,lead_day:int,season:string,bias:double,mae:double,n:long>>", {"mode": "FAILFAST"})
-    return docs.select("station", F.size(back["stats"]).cast("long").alias("n_stats"))
-
+    rows = docs.select(back.alias("d")).select("d.station", F.explode("d.stats").alias("s"))
+    return rows.select("station", "s.variable", "s.lead_day", "s.season", "s.n", "s.bias", "s.mae")

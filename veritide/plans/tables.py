@@ -217,11 +217,12 @@ def _compare(spark, sf):
 
 
 @query("with " + _CMP + """ select station, variable, season, grouping(station, variable, season)::bigint as grouping, count(*) as n, round(avg(a - b), 4) as mean_diff,
-  round(quantile_cont(a - b, 0.5), 4) as median_diff, round(quantile_cont(a - b, 0.05), 4) as p05_diff, round(quantile_cont(a - b, 0.95), 4) as p95_diff, round(avg(a - t), 4) as mean_off_a
+  round(quantile_cont(a - b, 0.5), 4) as median_diff, round(quantile_cont(a - b, 0.05), 4) as p05_diff, round(quantile_cont(a - b, 0.95), 4) as p95_diff, round(avg(a - t), 4) as mean_off_a,
+  round(avg(case when a is not null then 1.0 else 0.0 end), 4) as share_a, round(avg(b - t), 4) as mean_off_b, round(avg(case when abs(a - t) <= 1 then 1.0 else 0.0 end), 4) as within_1
   from cm group by grouping sets ((station, variable, season), (variable), (station, variable))""")
 def source_compare(spark, sf):
     got = quality.compare_sources(_compare(spark, sf), "a", "b", "t", [["station", "variable", "season"], ["variable"], ["station", "variable"]])
-    names = ["mean_diff", "median_diff", "p05_diff", "p95_diff", "mean_off_a"]
+    names = ["mean_diff", "median_diff", "p05_diff", "p95_diff", "mean_off_a", "share_a", "mean_off_b", "within_1"]
     return got.select("station", "variable", "season", "grouping", "n", *[F.round(c, 4).alias(c) for c in names])
 
 
@@ -278,10 +279,13 @@ def upper_median(spark, sf):
 w as (select variable, any_value(n) as n, max(g) filter (lag = 0) as a0, max(g) filter (lag = 1) as a1, max(g) filter (lag = 2) as a2 from gk where lag < 3 group by variable),
 k as (select *, a1 / a0 as r1 from w), k2 as (select *, (a2 - r1 * a1) / (a0 * (1 - r1 * r1)) as r2, a0 * (1 - r1 * r1) as s1 from k), k3 as (select *, s1 * (1 - r2 * r2) as s2 from k2)
 select variable, case when n * ln(a0) <= n * ln(s1) + 2 and n * ln(a0) <= n * ln(s2) + 4 then 0 when n * ln(s1) + 2 <= n * ln(s2) + 4 then 1 else 2 end as p,
-  round(case when n * ln(a0) <= n * ln(s1) + 2 and n * ln(a0) <= n * ln(s2) + 4 then a0 when n * ln(s1) + 2 <= n * ln(s2) + 4 then s1 else s2 end / 1e9, 3) as sigma2 from k3""")
+  round(case when n * ln(a0) <= n * ln(s1) + 2 and n * ln(a0) <= n * ln(s2) + 4 then a0 when n * ln(s1) + 2 <= n * ln(s2) + 4 then s1 else s2 end / 1e9, 3) as sigma2,
+  round(case when n * ln(a0) <= n * ln(s1) + 2 and n * ln(a0) <= n * ln(s2) + 4 then null when n * ln(s1) + 2 <= n * ln(s2) + 4 then r1 else r1 - r2 * r1 end, 6) as phi_1,
+  round(case when n * ln(a0) <= n * ln(s1) + 2 and n * ln(a0) <= n * ln(s2) + 4 then null when n * ln(s1) + 2 <= n * ln(s2) + 4 then null else r2 end, 6) as phi_2 from k3""")
 def ar_fit(spark, sf):
     got = series.ar_fit(_series(spark, sf), ["variable"], "run_date", "value", 2)
-    return got.select("variable", "p", F.round(F.col("sigma2") / 1e9, 3).alias("sigma2"))
+    phi = [F.round(F.get("phi", F.lit(k)), 6).alias(f"phi_{k + 1}") for k in range(2)]
+    return got.select("variable", "p", F.round(F.col("sigma2") / 1e9, 3).alias("sigma2"), *phi)
 
 
 @query(None)
@@ -311,9 +315,9 @@ def sample_floor(spark, sf):
     return series.choose_min_blocks(_coverage(spark, sf), 0.9)
 
 
-@query("with " + _COV + ", s as (select shape, n_blocks, min(coverage) >= 0.97 as passes from cv group by all) select shape, n_blocks from s where not passes and n_blocks > (select min(n_blocks) from s where passes)")
+@query("with " + _COV + ", s as (select shape, n_blocks, min(coverage) >= 0.956 as passes from cv group by all) select shape, n_blocks from s where not passes and n_blocks > (select min(n_blocks) from s where passes)")
 def rerun_shapes(spark, sf):
-    return series.needs_rerun(_coverage(spark, sf), 0.97)
+    return series.needs_rerun(_coverage(spark, sf), 0.956)
 
 
 @query("with " + fx.PAIRS + f", g as (select station, variable, count(distinct run_date) as n_dates from pairs where run_date between date '{LO}' and date '{HI}' group by all having count(distinct run_date) >= 20), w as (select date '{HI}' - date '{LO}' + 1 as n) select station, variable, n_dates, n - n_dates as n_missing, round((n - n_dates) / n::double, 6) as missing_fraction, (n - n_dates) / n::double > 0.1 as missing_flagged, round(1.96 / sqrt(n_dates), 6) as band from g, w")
