@@ -158,3 +158,14 @@ def test_stream_means_equal_the_batch_form_on_nulls(spark, tmp_path):
     got = spark.table("null_means").first()
     want = asof.pair_stats(df, ["entity"]).orderBy(F.desc("window_end")).first()
     assert (got.mean_3, got.mean_7) == (pytest.approx(want.mean_3), pytest.approx(want.mean_7)) == (7.5, 5.5)
+
+
+def test_extract_and_csv(spark, tmp_path):
+    df = spark.createDataFrame([(3, "c", None), (1, "a", 1.5), (2, None, 2.5)], "id int, name string, x double")
+    got = sinks.write_extract(df, str(tmp_path / "e"), ["id"])
+    assert got.schema == df.schema and [r.id for r in got.collect()] == [1, 2, 3]
+    sinks.write_csv(df.orderBy("id"), str(tmp_path / "c"))
+    back = spark.read.csv(str(tmp_path / "c"), header=True, schema="id int, name string, x double")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    wide = sinks.evolve(df, df.withColumn("extra", F.lit(1)))
+    assert wide.count() == 6 and wide.where("extra is null").count() == 3

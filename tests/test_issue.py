@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from veritide.operators import contracts, issue, log, models, report
+from veritide.operators import contracts, issue, log, models, report, score
 
 
 def panel(spark, days=80):
@@ -29,6 +29,13 @@ def test_issued_rows_equal_the_walk_and_export(spark, tmp_path):
     docs = spark.read.text(f"{out}/stations").withColumnRenamed("value", "document")
     schema = "station string, stats array<struct<variable:string,lead_day:int,season:string,bias:double,mae:double,n:long>>"
     assert contracts.check_contract(docs, schema).count() == 0 and docs.count() == 2
+    whole = lambda name: spark.read.text(f"{out}/{name}").select(F.col("value").alias("document"))
+    assert contracts.check_contract(whole("manifest"), "generated_at string, data_through string, log_head string, version int").count() == 0
+    assert {r.rule for r in contracts.check_contract(whole("index"), "station string, text string, significant boolean, max double, min double, city string").collect()} == {"city is missing"}
+    numbers = "variable string, lead_day int, source string, n long, bias double, mae double, no_detectable_bias boolean"
+    known = [("source is unknown", ~F.col("doc.source").isin("raw_nbm", "baseline")), ("negative error", F.col("doc.mae") < 0)]
+    assert contracts.check_contract(whole("scorecard"), numbers, rules=known).count() == 0
+    assert score.flag_errors(spark.read.json(f"{out}/scorecard")).count() == 0
     card = {r.source for r in spark.read.json(f"{out}/scorecard").collect()}
     assert card == {"raw_nbm", "baseline"}
     assert spark.read.json(f"{out}/manifest").first().log_head == log.head_hash(spark, path)

@@ -183,6 +183,18 @@ def bootstrap_md5(sums: DataFrame, keys: Sequence[str], num: str, den: str, n_bo
     return ratio.groupBy(*keys).agg(at((1 - level) / 2).alias("lo"), at((1 + level) / 2).alias("hi"))
 
 
+def as_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Every row as a block of its own (``block_id, n, error_sum``), for a bootstrap of rows beside that of blocks."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return rows.select(*keys, place.alias("block_id"), F.lit(1).alias("n"), F.col("error_f").alias("error_sum"))
+
+
+def flag_errors(stats: DataFrame) -> DataFrame:
+    """Rows whose flag of no detectable bias disagrees with the published interval."""
+    spans = F.coalesce((F.col("bias_lo") <= 0) & (F.col("bias_hi") >= 0), F.lit(True))
+    return stats.where(~F.col("no_detectable_bias").eqNullSafe(spans))
+
+
 def verdict(lo: str, hi: str, n_blocks: str, min_blocks: int = 21):
     """positive, negative, indistinguishable, or too few days."""
     few = (F.col(n_blocks) < min_blocks) | F.col(lo).isNull()

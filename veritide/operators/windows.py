@@ -75,3 +75,17 @@ def resolve_observed(windows: DataFrame, readings: DataFrame, reports: DataFrame
     source = F.when(F.col("tiled_f").isNotNull(), "tiled").when(F.col("hourly_f").isNotNull(), "hourly")
     out = out.withColumn("observed_f", F.coalesce("tiled_f", "hourly_f")).withColumn("extreme_source", source)
     return out.withColumn("scorable", F.col("observed_f").isNotNull()).withColumn("hours_expected", F.lit(HOURS))
+
+
+def re_resolve(old: DataFrame, windows: DataFrame, readings: DataFrame, reports: DataFrame, now: str, days: int = 4, entity: str = "entity", valid: str = "valid", value: str = "reading", coverage: float = COVERAGE) -> DataFrame:
+    """``old`` with the windows of the last ``days`` target dates up to ``now`` resolved again, since readings come late.
+
+    ``windows`` has what :func:`resolve_observed` takes and ``target_date``; windows of those dates
+    that ``old`` lacks are added. Readings are cut to the days that these windows touch, which
+    prunes a table that is partitioned by date.
+    """
+    day = F.lit(now).cast("date")
+    recent = F.col("target_date").between(F.date_sub(day, days), day)
+    near = lambda df: df.where(F.col(valid) >= F.date_sub(day, days + 1).cast("timestamp_ntz"))
+    fresh = resolve_observed(windows.where(recent), near(readings), near(reports), entity, valid, value, coverage)
+    return old.where(~recent).unionByName(fresh.select(old.columns))

@@ -78,6 +78,16 @@ def bootstrap_md5(spark, sf):
     return r6(_md5(spark, sf)[1], "lo", "hi")
 
 
+_ROWS = _MD5.replace("bs as (select variable, source, block_id, count(*) as n, sum(error_f)::bigint as error_sum from fact group by all)", "bs as (select variable, source, row_number() over (partition by variable, source order by station, run_date, lead_day) as block_id, 1 as n, error_f as error_sum from fact)").replace("range(20)", "range(5)")
+
+
+@query("with " + fx.FACT + _ROWS + " select variable, source, round(lo, 6) as lo, round(hi, 6) as hi from ci")
+def row_bootstrap(spark, sf):
+    """Rows drawn one by one, to compare with draws of blocks."""
+    rows = score.as_blocks(score.prepare(fx.fact(spark, sf)), ["variable", "source"], ["station", "run_date", "lead_day"])
+    return r6(score.bootstrap_md5(rows, ["variable", "source"], "error_sum", "n", 5), "lo", "hi")
+
+
 @query("with " + fx.FACT + _MD5 + """ select variable, source, m as n_blocks, m < 21 as min_sample_flag, lo <= 0 and hi >= 0 as no_detectable_bias,
   case when m < 21 then 'too few days' when lo > 0 then 'positive' when hi < 0 then 'negative' else 'indistinguishable' end as verdict from ci join sz using (variable, source)""")
 def flags(spark, sf):
@@ -439,6 +449,14 @@ def rounded_intervals(spark, sf):
     return got.select("station", "variable", "lead_day", "season", *[(F.round(c, 2) + 0.0).alias(c) for c in ("bias", "bias_lo", "bias_hi")])
 
 
+@query("with " + _CITY + ", p as (select *, case when n % 5 = 0 then not no_detectable_bias else no_detectable_bias end as flag from ci) select station, variable, lead_day, season from p where flag <> no_detectable_bias")
+def flag_errors(spark, sf):
+    """Statistics of which every fifth has its flag turned."""
+    st = _city(spark, sf)
+    st = st.withColumn("no_detectable_bias", F.when(F.col("n") % 5 == 0, ~F.col("no_detectable_bias")).otherwise(F.col("no_detectable_bias")))
+    return score.flag_errors(st).select("station", "variable", "lead_day", "season")
+
+
 @query("with " + _CITY + " select station, variable, lead_day, season, n, bias, mae from ci")
 def station_documents(spark, sf):
     """What the documents of all stations hold, read back from their text."""

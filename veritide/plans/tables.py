@@ -42,6 +42,26 @@ def resolve_observed(spark, sf):
     return got.select("entity", "variable", "window_start", "observed_f", "extreme_source", "scorable", "hours_covered")
 
 
+_AGAIN = """, e0 as (select * from ev where valid < timestamp '2024-01-28'), last as (select max(cast(valid as date)) as d from ev),
+twice as (select w.entity, w.variable, w.window_start, cast(w.window_start as date) as target_date, cast(w.window_start as date) >= d - 4 as again,
+  count(e.reading) as n_all, count(e.reading) filter (e.valid < timestamp '2024-01-28') as n_old,
+  case when w.variable = 'max' then max(e.reading) else min(e.reading) end as now_f,
+  case when w.variable = 'max' then max(e.reading) filter (e.valid < timestamp '2024-01-28') else min(e.reading) filter (e.valid < timestamp '2024-01-28') end as old_f
+  from last, win w left join ev e on w.entity = e.entity and e.valid >= w.window_start and e.valid < w.window_end group by w.entity, w.variable, w.window_start, d)"""
+
+
+@query("with " + fx.WINDOWS + _AGAIN + " select entity, variable, window_start, case when again then n_all else n_old end as n_obs, case when again then now_f else old_f end as hourly_f from twice")
+def re_resolve(spark, sf):
+    """Windows resolved from what had come by a date, the last four days of them resolved again."""
+    w, e = fx.day_windows(spark, sf), fx.events(spark, sf).select("entity", "valid", "reading")
+    none = fx.reports(spark, sf).where("false")
+    early = e.where(F.col("valid") < F.lit("2024-01-28").cast("timestamp_ntz"))
+    old = windows.resolve_observed(w, early, none, coverage=1 / 18)
+    now = e.agg(F.max("valid").cast("date")).first()[0]
+    got = windows.re_resolve(old, w, e, none, str(now), coverage=1 / 18)
+    return got.select("entity", "variable", "window_start", "n_obs", "hourly_f")
+
+
 @query("with " + fx.STATIONS + ", d as (select unnest(range(date '1999-01-01', date '1999-03-01', interval 1 day)) as d) select station, cast(d as date) as target_date, variable from stations, d, (values ('max'), ('min')) v(variable)", ("target_date",))
 def window_scaffold(spark, sf):
     return quality.window_scaffold(fx.stations(spark, sf), "1999-01-01", "1999-02-28")

@@ -98,6 +98,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def write_extract(df: DataFrame, path: str, order: list[str], files: int = 1) -> DataFrame:
+    """A table as Parquet files in ``order``, to hand on or to read elsewhere; returns a reader of them."""
+    df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_documents(docs: DataFrame, path: str, key: str = "station", text: str = "document") -> None:
     """JSON texts as lines under one folder per key."""
     docs.select(key, text).write.mode("overwrite").partitionBy(key).text(path)
