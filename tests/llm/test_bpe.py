@@ -51,3 +51,13 @@ def test_join_of_any_chunks():
         for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
             j.add(*bpe.encode_part(c, text[a:b]))
         assert j.finish() == c.encode(text)
+
+
+def test_seams_of_texts_without_spaces_take_linear_time():
+    c = bpe.codec(PATH)
+    text = "".join(random.Random(5).choice("日本語文字列の例です") for _ in range(60_000))
+    parts = [text[k : k + 300] for k in range(0, len(text), 300)]
+    j = bpe.Joiner(c)
+    for p in parts:
+        j.add(*bpe.encode_part(c, p))
+    assert len(j.open) == len(parts) and j.finish() == c.encode(text)

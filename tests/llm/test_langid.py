@@ -41,3 +41,12 @@ def test_edge_rows(spark, model):
     assert langid.fit(docs.limit(0).withColumnRenamed("LANG", "lang")) is None
     with pytest.raises(ValueError):
         langid.identify(docs.withColumnRenamed("LANG", "Score"), model)
+
+
+def test_a_rare_language_is_learnt(spark):
+    words = {"aa": ["the", "and", "ing"], "bb": ["ü", "sch", "keit"], "cc": ["ñandú", "qx", "wzw"]}
+    text = lambda own, k: " ".join(np.random.default_rng(k).choice(words[own], 12))
+    rows = [(text(own, k), own) for own, n in (("aa", 900), ("bb", 900), ("cc", 4)) for k in range(n)]
+    got = langid.fit(spark.createDataFrame(rows, "text string, lang string"), max_rows=60)
+    assert got.labels == ["aa", "bb", "cc"]
+    assert [own for own, _ in langid.predict(got, ["qx wzw ñandú qx wzw qx ñandú"])] == ["cc"]

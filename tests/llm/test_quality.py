@@ -37,11 +37,12 @@ def test_shared_lines_deplete(spark):
     rows += [(k, f"{line}\nshort end", "h1", "b") for k in range(35, 37)]
     rows += [(99, line + "\n" + own(0), "h2", "c"), (98, line + " x", None, None), (None, None, None, None), (97, "", "h2", "")]
     rows += [(96, own(96), "h1", "z")] * 30  # copies count once
+    rows += [(95, "\n".join(own(1000 + k) for k in range(400)) + "\n" + line, "h1", "very long")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, HOST string")
     got = quality.quality(docs).collect()
     assert len(got) == len(rows)
     kept = {r.id: r.kept for r in got}
-    assert all(kept[k] for k in [*range(35), 99, 98, 96]) and not any(kept[k] for k in (35, 36, 97, None))
+    assert all(kept[k] for k in [*range(35), 99, 98, 96, 95]) and not any(kept[k] for k in (35, 36, 97, None))
     assert {r.id: r.left_words for r in got}[3] == 90
     assert quality.quality(docs.limit(0)).count() == 0
 

@@ -78,7 +78,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     pass and the lines that are left hold ``min_words`` words and ``min_left`` of all its words.
 
     A null or empty text has no words and fails; a null host is a host of its own; null ids and
-    repeated rows are rows like any other; other columns are not read.
+    repeated rows are rows like any other; texts and lines of any length are read whole; other
+    columns are not read; an empty table gives an empty one.
     """
     rows = keyed_rows(docs, id_col, text_col, host_col)
     id_type = rows.schema["c0"].dataType.simpleString()
@@ -107,7 +108,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     return out.select(F.col("c0").alias("id"), *NAMES, failed.alias("base_failed"), "left_words", kept.alias("kept"))
 
 
-def quality_sql(max_share: float = 0.05, min_docs: int = 10, min_words: int = 50, min_left: float = 0.3) -> str:
+def quality_sql(min_docs: int = 10, min_words: int = 50, min_left: float = 0.3) -> str:
     """DuckDB SQL for the rows of :func:`quality` over ``documents``, hosts being sources."""
     word = "'[^\\x20\\x09-\\x0D]+'"
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -121,9 +122,7 @@ dup as (select uid, sum(n - 1) as n_dup_lines from (select uid, line, count(*) a
 t as (select uid, unnest(range(1, len(w) - 1)) as i, w from d where len(w) >= 3),
 t2 as (select uid, i, count(*) over (partition by uid, w[i], w[i + 1], w[i + 2]) as n from t),
 rep as (select uid, count(distinct i + o) as n_repeat_words from t2, (select unnest([0, 1, 2]) as o) where n > 1 group by uid),
-sz as (select host, count(distinct text) as texts from d where len(w) > 0 group by host),
-over_ as (select l.host, normal from l join sz on l.host = sz.host group by l.host, normal, texts
-  having count(distinct text) > {min_docs} and count(distinct text) > {max_share} * texts),
+over_ as (select host, normal from l group by host, normal having count(distinct text) > {min_docs}),
 gone as (select uid, sum(words) as gone from l join over_ using (host, normal) group by uid),
 m as (select d.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
