@@ -41,7 +41,7 @@ def brute(rows, least):
             place.setdefault(c, []).append((k, s))
     out = []
     for k, parts in enumerate(cut):
-        hit = [(s, a, b, place[c][0] == (k, s)) for s, a, b, c in parts if len(place[c]) > 1]
+        hit = [(s, a, b, place[c][0] == (k, s)) for s, a, b, c in parts if len({at for at, _ in place[c]}) > 1]
         gone = set()
         for i, h in enumerate(hit):
             lo = hi = i
@@ -67,6 +67,7 @@ def test_passages_and_edge_rows(spark):
     passage = words(rng, 55)
     rows = [(k, f"{words(rng, 80)} {passage} {words(rng, 80)}", "x") for k in range(12)]
     rows += [(20 + k, words(rng, 200), "x") for k in range(10)]
+    rows += [(30, f"{words(rng, 60)} " * 4, "x")]  # repeats itself, but no other text
     rows += [(40, None, "x"), (41, "", "x"), (None, words(rng, 30), None), (42, "é" * 300, "y"), (42, "é" * 300, "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, UID string").coalesce(1)
     got = substrings.repeated_passages(docs).collect()
@@ -74,5 +75,6 @@ def test_passages_and_edge_rows(spark):
     by = {r.id: r for r in got}
     assert all(by[k].repeated_bytes > 100 for k in range(12)) and sum(by[k].removed_bytes > 100 for k in range(12)) == 11
     assert all(by[20 + k].repeated_bytes == 0 and by[20 + k].text == rows[12 + k][1] for k in range(10))
+    assert by[30].repeated_bytes == 0
     assert by[40].text is None and by[41].text == "" and sorted(r.removed_bytes for r in got if r.id == 42)[1] > 500
     assert substrings.repeated_passages(docs.limit(0)).count() == 0

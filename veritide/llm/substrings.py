@@ -18,7 +18,7 @@ BITS, LEAST, MOST = 5, 8, 96
 
 #: Bytes from which a run of shared chunks is a repeated passage. A passage of 50 words has some
 #: 300 bytes, of which the chunks at its two ends, which also hold bytes of what surrounds it, are lost.
-LEAST_RUN = 192
+LEAST_RUN = 160
 
 
 def chunk_digests(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -72,9 +72,9 @@ def merge_spans(chunks: list[tuple], least: int) -> tuple[int, list[tuple[int, i
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_RUN) -> DataFrame:
     """``id, n_bytes, repeated_bytes, removed_bytes, spans, text`` of every row.
 
-    Chunks with equal digests, in one text or several, are the same passage; the place with the
-    smallest (id, row, position) keeps it and the others lose it, if the run of shared chunks
-    around it has ``least`` bytes. ``spans`` are byte intervals of the UTF-8 text that go,
+    Chunks with equal digests in several texts are the same passage (what only one text repeats
+    is no such passage); the place with the smallest (row, position) keeps it and the others lose
+    it, if the run of shared chunks around it has ``least`` bytes. ``spans`` are byte intervals of the UTF-8 text that go,
     ``text`` is what stays; ``repeated_bytes`` also counts the passages that stay. Boundaries
     depend on the last 32 bytes only, so an insertion changes the chunks next to it alone.
 
@@ -85,7 +85,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = stage(keyed_rows(docs, id_col, text_col))
     found = rows.mapInPandas(_occurrences, "uid long, seq int, first int, last int, digest long")
     place = F.min(F.struct("uid", "seq")).alias("owner")
-    shared = found.groupBy("digest").agg(F.count("*").alias("n"), place).where("n > 1").select("digest", "owner")
+    texts = (F.min("uid") != F.max("uid")).alias("several")
+    shared = found.groupBy("digest").agg(texts, place).where("several").select("digest", "owner")
     shared = stage(shared)
     owner = (F.col("owner.uid") == F.col("uid")) & (F.col("owner.seq") == F.col("seq"))
     hits = found.join(shared, "digest").select("uid", F.struct("seq", "first", "last", owner.alias("owner")).alias("chunk"))
