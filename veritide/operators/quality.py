@@ -98,8 +98,8 @@ def collapse_by_key(df: DataFrame, keys: Sequence[str], strict: bool = True) ->
 
 def dedupe_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``rows_before, rows_after, keys_collapsed`` of a collapse, without doing it."""
-    n = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return n.agg(F.sum("n").alias("rows_before"), F.count("*").alias("rows_after"), F.count_if(F.col("n") > 1).alias("keys_collapsed"))
+    n = df.groupBy(*keys).agg(F.count("*").alias("rows_of_key"))
+    return n.agg(F.sum("rows_of_key").alias("rows_before"), F.count("*").alias("rows_after"), F.count_if(F.col("rows_of_key") > 1).alias("keys_collapsed"))
 
 
 def dedupe(df: DataFrame, keys: Sequence[str]) -> DataFrame:
