@@ -2,41 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritide import staging
+
 #: ASCII white space, the separators of every word count in this package.
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
 
-_own_dir: list[str] = []
-
 #: Tables staged within each open :func:`scratch`.
 _open: list[list[DataFrame]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one on a local master."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="spark-staged-", dir="/tmp"))
-    return f"file://{_own_dir[0]}"
-
-
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of it; cuts the lineage."""
-    at = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out = staging.stage(df)
     if _open:
         _open[-1].append(out)
     return out
