@@ -16,7 +16,7 @@ from .common import column
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 8, 8
 
 #: Windows that are classified at a time.
-BATCH = 4096
+BATCH = 1024
 
 
 def windows(text: str) -> np.ndarray:
@@ -204,7 +204,7 @@ def predict(model: ByteCnn | None, texts) -> list[tuple[str, float]]:
             held.append(windows(text))
             owner.append(k)
             size += len(held[-1])
-            if size >= 4 * BATCH:
+            if size >= 16 * BATCH:
                 flush()
     flush()
     return out
