@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veritide.shipping import ship
 
-from . import bpe, embeddings, langid, lm, mixing, pii, quality, simhash, substrings, toxicity
+from . import bpe, embeddings, exact, langid, lm, mixing, pii, quality, resample, simhash, substrings, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -158,3 +158,23 @@ s as (select uid, ln(case when n3.n >= 2 then n3.n / p2.n
 select doc_id, len(w)::bigint as n_words, round(coalesce(sum(x), 0), 6) as log_sum, round(sum(x) / len(w) / ln(10), 6) as mean_log10
 from d left join s using (uid) group by uid, doc_id, w
 """
+
+
+@query
+def op13_exact_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts; the row with the largest id stays."""
+    groups = exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
+    return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
+
+
+ORACLES["op13_exact_sort"] = exact.exact_sql()
+
+
+@query
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights and scores of every document towards the benchmark's texts, and the rank of those drawn."""
+    got = resample.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+ORACLES["op12_importance_resample"] = resample.resample_sql()
