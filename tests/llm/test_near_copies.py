@@ -72,3 +72,20 @@ def test_groups_that_no_pivot_joins(spark):
     assert plain_kept(rows)[0] == {0}
     got = simhash.connected(near_copies.near_copy_links(docs, shard_rows=3))
     assert got.count() == 89 and got.select("component").distinct().count() == 1
+
+
+def test_texts_of_one_template_propose_no_pairs(spark):
+    # 155 of 200 words are the same in all, 45 are each text's own: a similarity of 0.63, so nothing is linked
+    common = [f"w{k}" for k in range(155)]
+    rows = [(k, " ".join([*common, *(f"own{k}x{i}" for i in range(45))])) for k in range(400)]
+    rows += [(1000, rows[3][1] + " end"), (1001, rows[3][1] + " end here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in near_copies.near_copy_dedup(docs).collect())
+    assert got == sorted(plain_kept(rows)[0]) == list(range(400))
+
+    def sets(batches):
+        for pdf in batches:
+            yield pdf.assign(hashes=[near_copies.shingle_set(t).view(np.int64) for t in pdf.pop("text")])
+
+    made = docs.selectExpr("doc_id as h", "doc_id as fp", "doc_id as root", "text").mapInPandas(sets, "h long, fp long, root long, hashes array<long>")
+    assert near_copies._in_other_groups(near_copies.rare_shingles(made, 0.8), 64, 0.8, 20_000).count() <= 3

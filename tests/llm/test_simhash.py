@@ -82,3 +82,14 @@ def test_bands_follow_the_number_of_fingerprints(spark):
     for bands in (6, 7):
         got = {r.node: r.component for r in connected(simhash.link_fingerprints(df, 4, bands)).collect()}
         assert {p: got.get(p, p) for p in prints} == want
+
+
+def test_dense_shard_keeps_no_pairs():
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    flips = rng.integers(0, 64, (3000, 2)).astype(np.uint64)
+    prints = np.unique(np.uint64(0x123456789ABCDEF0) ^ (np.uint64(1) << flips[:, 0]) ^ (np.uint64(1) << flips[:, 1]))
+    pdf = pd.DataFrame({"band": 0, "key": 0, "lo": 0, "hi": 0, "role": 0, "fp": prints.view(np.int64)})
+    got = simhash._shard_links(pdf, 4)
+    assert len(got) == len(prints) - 1 and got["v"].nunique() == 1

@@ -12,9 +12,10 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .chunks import cut_points
-from .common import column, keyed_rows, stage
+from .common import column, keyed_rows, numbers_as_text, stage
 
 #: Chunks: one boundary in 2**CHUNK_BITS bytes, at most CHUNK_MOST bytes.
 CHUNK_BITS, CHUNK_LEAST, CHUNK_MOST = 10, 256, 8192
@@ -183,15 +184,15 @@ def _row(c: Codec, ids: list[int], keep_ids: bool) -> tuple:
     return (*c.digests(ids), np.array(ids, np.int32) if keep_ids else None)
 
 
-def encoded_parts(docs: DataFrame, id_col: str, text_col: str, path: str, keep_ids: bool) -> tuple[DataFrame, DataFrame]:
-    """(ids and digests of the texts that share no chunk; parts of the others)."""
+def encoded_parts(docs: DataFrame, id_col: str, text_col: str, path: str, keep_ids: bool) -> tuple[DataFrame, DataFrame, T.DataType]:
+    """(ids and digests of the texts that share no chunk; parts of the others; the type of ids, which go as text)."""
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             seen = [d for t in pdf["c1"] for d in {_digest(c) for c in chunk_texts(t)}]
             yield pd.DataFrame({"digest": np.array(seen, np.uint64).view(np.int64)})
 
-    rows = keyed_rows(docs, id_col, text_col)
+    rows, id_kind = numbers_as_text(keyed_rows(docs, id_col, text_col), "c0")
     shared = rows.select("c1").mapInPandas(digests, "digest long").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
     known = docs.sparkSession.sparkContext.broadcast(shared_filter(shared.select("digest")))
     id_type = rows.schema["c0"].dataType.simpleString()
@@ -231,7 +232,7 @@ def encoded_parts(docs: DataFrame, id_col: str, text_col: str, path: str, keep_i
 
     parts = stage(rows.mapInPandas(encode, schema))
     known.unpersist()
-    return parts.where("kind = 2"), parts.where("kind < 2")
+    return parts.where("kind = 2"), parts.where("kind < 2"), id_kind
 
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -253,7 +254,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             got = [encode_part(c, k.decode("utf-8", "surrogatepass")) for k in pdf["chunk"]]
             yield pd.DataFrame({"key": pdf["key"], "head": [g[0] for g in got], "ids": [g[1] for g in got], "tail": [g[2] for g in got]})
 
-    done, parts = encoded_parts(docs, id_col, text_col, path, keep_ids)
+    done, parts, id_kind = encoded_parts(docs, id_col, text_col, path, keep_ids)
     chunks = parts.where("kind = 1").groupBy("key").agg(F.first("chunk").alias("chunk"))
     encoded = stage(chunks.mapInPandas(once, "key binary, head string, ids binary, tail string"))
     kept = ["uid", "n", "seq", "c0", "head", "ids", "tail"]
@@ -277,7 +278,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     whole = every.repartition("uid").sortWithinPartitions("uid", "seq").mapInPandas(join, result)
     both = whole.unionByName(done.select("c0", "tokens", "ids_sha", "text_sha", "all_ids"))
     names = {"c0": "id", "tokens": "n_tokens", "ids_sha": "ids_sha256", "text_sha": "decoded_sha256", "all_ids": "ids"}
-    out = both.withColumnsRenamed(names)
+    out = both.withColumn("c0", F.col("c0").cast(id_kind)).withColumnsRenamed(names)
     return out if keep_ids else out.drop("ids")
 
 

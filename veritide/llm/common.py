@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritide import staging
 
@@ -77,6 +78,15 @@ def column(df: DataFrame, name: str):
     return df[f"`{name.replace('`', '``')}`"]
 
 
+def numbers_as_text(df: DataFrame, name: str) -> tuple[DataFrame, T.DataType]:
+    """``df`` with the column ``name`` ready for pandas, and the type to cast it back to afterwards.
+
+    Beside a null, pandas holds whole numbers as doubles, which rounds large ones; as text they pass unchanged.
+    """
+    kind = df.schema[name].dataType
+    return (df.withColumn(name, F.col(name).cast("string")) if isinstance(kind, T.NumericType) else df), kind
+
+
 def keyed_rows(df: DataFrame, *cols: str) -> DataFrame:
     """``cols`` of ``df`` as ``c0, c1, ...`` beside a number ``uid`` of each row.
 

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from .common import drop_staged, stage
 
 
-def label_pairs(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For nodes 0..n-1 and links a-b: the smallest node of each node's component."""
-    label = np.arange(n)
+def label_pairs(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """For nodes 0..n-1 and links a-b: the smallest node of each node's component.
+
+    ``label`` is what earlier links have given; it is changed in place.
+    """
+    label = np.arange(n) if label is None else label
     while len(a):
         la, lb = label[a], label[b]
         apart = la != lb
@@ -25,7 +28,7 @@ def label_pairs(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         np.minimum.at(label, la, low)
         np.minimum.at(label, lb, low)
         while not np.array_equal(up := label[label], label):
-            label = up
+            label[:] = up
     return label
 
 

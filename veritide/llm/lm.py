@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, column, stage
+from .common import WORD, column, numbers_as_text, stage
 
 #: Words of a part of the corpus, whose n-grams are counted before they are shuffled, and n-grams of a bucket.
 PART_WORDS, BUCKET_GRAMS = 1_250_000, 3_000_000
@@ -143,6 +143,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     evaluated, as stored tables do.
     """
     picked = docs.select(F.monotonically_increasing_id().alias("uid"), column(docs, id_col).alias("id"), column(docs, text_col).alias("text"))
+    picked, id_kind = numbers_as_text(picked, "id")
     id_type = picked.schema["id"].dataType.simpleString()
     least = max(min_count, 1)
 
@@ -214,4 +215,5 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     triples = parts.groupBy("part").cogroup(short.where("width = 2").groupBy("part")).applyInPandas(long_grams, CELL)
     totals = short.unionByName(triples.groupBy("bucket").applyInPandas(_sum_up, SUMMED))
     scored = parts.groupBy("part").cogroup(totals.groupBy("part"))
-    return scored.applyInPandas(score, f"id {id_type}, n_words long, log_sum double, mean_log10 double")
+    scored = scored.applyInPandas(score, f"id {id_type}, n_words long, log_sum double, mean_log10 double")
+    return scored.withColumn("id", F.col("id").cast(id_kind))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, keyed_rows, stage
+from .common import column, keyed_rows, numbers_as_text, stage
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -82,6 +82,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     columns are not read; an empty table gives an empty one.
     """
     rows = keyed_rows(docs, id_col, text_col, host_col)
+    rows, id_kind = numbers_as_text(rows, "c0")
     id_type = rows.schema["c0"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,7 +106,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     out = all_rows.drop("lines", "line_words").join(gone, "uid", "left").withColumn("left_words", F.col("n_words") - F.coalesce("gone", F.lit(0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & (F.col("left_words") >= min_words) & (F.col("left_words") >= min_left * F.col("n_words"))
-    return out.select(F.col("c0").alias("id"), *NAMES, failed.alias("base_failed"), "left_words", kept.alias("kept"))
+    return out.select(F.col("c0").cast(id_kind).alias("id"), *NAMES, failed.alias("base_failed"), "left_words", kept.alias("kept"))
 
 
 def quality_sql(min_docs: int = 10, min_words: int = 50, min_left: float = 0.3) -> str:

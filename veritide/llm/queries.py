@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veritide.shipping import ship
 
-from . import bpe, embeddings, exact, langid, lm, mixing, pii, quality, resample, simhash, substrings, toxicity
+from . import bpe, embeddings, exact, langid, lexical, lm, mixing, pii, quality, resample, simhash, substrings, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -178,3 +178,13 @@ def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_importance_resample"] = resample.resample_sql()
+
+
+@query
+def op11_stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for each item of the benchmark."""
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    return index.search(table(spark, sf_dir, "benchmark"), 50).select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+ORACLES["op11_stratified_search"] = lexical.search_sql()

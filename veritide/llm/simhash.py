@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, fresh, stage
+from .common import column, fresh, numbers_as_text, stage
 from .components import connected, label_pairs
 
 #: Shingle hashes that are held at a time.
@@ -122,23 +122,20 @@ class BKForest:
             node = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum()) + self.n_shards
         return (np.concatenate(got_q), np.concatenate(got_i)) if got_q else (np.zeros(0, np.int64),) * 2
 
-
-    def near_all(self, query: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    def near_steps(self, query: np.ndarray, shard: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """:meth:`near` in steps that hold ``FRONTIER`` pairs of a query and a node at most."""
         size = np.bincount(self.shard_of, minlength=self.n_shards)
         cost = np.cumsum(size[shard]) if len(shard) else np.zeros(0, np.int64)
-        got_q, got_i, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        at = 0
         while at < len(query):
             upto = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + FRONTIER, side="right")))
             q, i = self.near(query[at:upto], shard[at:upto], radius)
-            got_q.append(q + at)
-            got_i.append(i)
+            yield q + at, i
             at = upto
-        return np.concatenate(got_q), np.concatenate(got_i)
 
 
 #: Query-node pairs that one step of a search may hold.
-FRONTIER = 2_000_000
+FRONTIER = 500_000
 
 
 def _shard_links(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
@@ -152,17 +149,15 @@ def _shard_links(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
     number = np.cumsum(has_tree) - 1
     ask = ask[has_tree[shard[ask]]]
     forest = BKForest(prints[tree], number[shard[tree]])
-    q, i = forest.near_all(prints[ask], number[shard[ask]], radius)
-    a, b = ask[q], tree[i]
-    keep = prints[a] != prints[b]
-    a, b = a[keep], b[keep]
-    nodes, where = np.unique(np.concatenate([prints[a], prints[b]]), return_inverse=True)
-    label = label_pairs(len(nodes), where[: len(a)], where[len(a) :])
+    nodes, where = np.unique(prints, return_inverse=True)
+    label = np.arange(len(nodes))
+    for q, i in forest.near_steps(prints[ask], number[shard[ask]], radius):  # pairs give way to labels step by step
+        label_pairs(len(nodes), where[ask[q]], where[tree[i]], label)
     child = label != np.arange(len(nodes))
     return pd.DataFrame({"u": nodes[child].view(np.int64), "v": nodes[label[child]].view(np.int64)})
 
 
-def in_shards(keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], hold: int):
+def in_shards(keys: list[str], work: Callable[[pd.DataFrame], Iterable[pd.DataFrame]], hold: int):
     """Reads rows in order of ``keys`` and works on whole shards, ``hold`` rows or so at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,10 +173,10 @@ def in_shards(keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], hol
             if rows >= hold and whole.any():
                 every = pd.concat(held)
                 ends = (every[keys] == last).all(axis=1)
-                yield work(every[~ends].reset_index(drop=True))
+                yield from work(every[~ends].reset_index(drop=True))
                 held, rows = [every[ends]], int(ends.sum())
         if rows:
-            yield work(pd.concat(held).reset_index(drop=True))
+            yield from work(pd.concat(held).reset_index(drop=True))
 
     return run
 
@@ -229,7 +224,7 @@ def link_fingerprints(prints: DataFrame, radius: int = 4, bands: int | None = No
     role = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
     split = split.select("band", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), role.alias("role"), "fp")
     split = split.repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi", "fp")
-    search = in_shards(["band", "key", "lo", "hi"], lambda pdf: _shard_links(pdf, radius), 200_000)
+    search = in_shards(["band", "key", "lo", "hi"], lambda pdf: [_shard_links(pdf, radius)], 200_000)
     return split.mapInPandas(search, "u long, v long")
 
 
@@ -243,8 +238,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int,
 
     text = column(docs, text_col)
     picked = docs.select(column(docs, id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    picked, id_kind = numbers_as_text(picked, "id")
     id_type = picked.schema["id"].dataType.simpleString()
-    rows = stage(picked.mapInPandas(measure, f"id {id_type}, text_hash long, fingerprint long"))
+    rows = picked.mapInPandas(measure, f"id {id_type}, text_hash long, fingerprint long")
+    rows = stage(rows.withColumn("id", F.col("id").cast(id_kind)))
     return groups_by_links(rows, lambda prints: link_fingerprints(prints, radius, bands))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import cut_points
-from .common import keyed_rows, stage
+from .common import keyed_rows, numbers_as_text, stage
 
 #: Chunks end at one byte in 2**BITS and have LEAST to MOST bytes.
 BITS, LEAST, MOST = 5, 8, 96
@@ -75,14 +75,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Chunks with equal digests in several texts are the same passage (what only one text repeats
     is no such passage); the place with the smallest (row, position) keeps it and the others lose
     it, if the run of shared chunks around it has ``least`` bytes. ``spans`` are byte intervals of the UTF-8 text that go,
-    ``text`` is what stays; ``repeated_bytes`` also counts the passages that stay. Boundaries
-    depend on the last 32 bytes only, so an insertion changes the chunks next to it alone.
+    ``text`` is what stays; ``repeated_bytes`` also counts the passages that stay. A
+    boundary depends on the 32 bytes before it and, through the least and greatest size of a
+    chunk, on the boundary before; after an insertion boundaries meet again at the next bytes
+    where both texts may cut.
 
     A null text stays null and has no bytes; null ids come first; repeated rows are texts like
     any other; other columns are not read. Ids, texts and row numbers are staged once, so that
     spans always belong to the text they are cut from, whatever ``docs`` is computed from.
     """
-    rows = stage(keyed_rows(docs, id_col, text_col))
+    rows, id_kind = numbers_as_text(keyed_rows(docs, id_col, text_col), "c0")
+    rows = stage(rows)
     found = rows.mapInPandas(_occurrences, "uid long, seq int, first int, last int, digest long")
     place = F.min(F.struct("uid", "seq")).alias("owner")
     texts = (F.min("uid") != F.max("uid")).alias("several")
@@ -107,4 +110,5 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pd.DataFrame(out, columns=["id", "n_bytes", "repeated_bytes", "removed_bytes", "spans", "text"])
 
     schema = f"id {id_type}, n_bytes long, repeated_bytes long, removed_bytes long, spans array<struct<first:int,last:int>>, text string"
-    return rows.join(hits, "uid", "left").select("c0", "c1", "chunks").mapInPandas(cut, schema)
+    out = rows.join(hits, "uid", "left").select("c0", "c1", "chunks").mapInPandas(cut, schema)
+    return out.withColumn("id", F.col("id").cast(id_kind))
