@@ -50,3 +50,15 @@ def test_a_rare_language_is_learnt(spark):
     got = langid.fit(spark.createDataFrame(rows, "text string, lang string"), max_rows=60)
     assert got.labels == ["aa", "bb", "cc"]
     assert [own for own, _ in langid.predict(got, ["qx wzw ñandú qx wzw qx ñandú"])] == ["cc"]
+
+
+def test_copies_and_hot_texts_do_not_crowd_out_others(spark):
+    words = {"aa": ["the", "and", "ing"], "bb": ["ü", "sch", "keit"], "cc": ["ñandú", "qx", "wzw"]}
+    text = lambda own, k: " ".join(np.random.default_rng(k).choice(words[own], 12))
+    hot = [(text("aa", 7), "aa")] * 3000 + [(text("cc", k % 5), "cc") for k in range(2000)]
+    rows = hot + [(text(own, k), own) for own in ("aa", "bb") for k in range(300)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    got = langid.fit(docs, max_rows=60)
+    assert got.labels == ["aa", "bb", "cc"]
+    other = langid.fit(docs.orderBy("text").repartition(7), max_rows=60)
+    assert all(np.array_equal(a, b) for a, b in zip(got.filters, other.filters, strict=True)) and np.array_equal(got.dense, other.dense)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import cut_points
-from .common import column, keyed_rows, numbers_as_text, stage
+from .common import column, keyed_rows, numbers_as_text, small_batches, stage
 
 #: Chunks: one boundary in 2**CHUNK_BITS bytes, at most CHUNK_MOST bytes.
 CHUNK_BITS, CHUNK_LEAST, CHUNK_MOST = 10, 256, 8192
@@ -194,7 +194,8 @@ def encoded_parts(docs: DataFrame, id_col: str, text_col: str, path: str, keep_i
 
     rows, id_kind = numbers_as_text(keyed_rows(docs, id_col, text_col), "c0")
     shared = rows.select("c1").mapInPandas(digests, "digest long").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    known = docs.sparkSession.sparkContext.broadcast(shared_filter(shared.select("digest")))
+    with small_batches(docs.sparkSession):
+        known = docs.sparkSession.sparkContext.broadcast(shared_filter(shared.select("digest")))
     id_type = rows.schema["c0"].dataType.simpleString()
     schema = f"{PART}, c0 {id_type}, {DONE}"
     names = [f.split()[0] for f in schema.split(", ")]
@@ -230,7 +231,8 @@ def encoded_parts(docs: DataFrame, id_col: str, text_col: str, path: str, keep_i
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    parts = stage(rows.mapInPandas(encode, schema))
+    with small_batches(docs.sparkSession):
+        parts = stage(rows.mapInPandas(encode, schema))
     known.unpersist()
     return parts.where("kind = 2"), parts.where("kind < 2"), id_kind
 

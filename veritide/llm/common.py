@@ -41,7 +41,7 @@ def scratch() -> Iterator[list[DataFrame]]:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
     """Arrow batches of ``rows`` rows at most for the jobs that run within it: whole texts or shingle sets make large rows."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)

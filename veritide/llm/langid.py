@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column
@@ -126,12 +126,12 @@ def train(x: np.ndarray, y: np.ndarray, labels: list, epochs: int = 6, rate: flo
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = 4000, per_row: int = 4, seed: int = 7) -> ByteCnn | None:
-    """Train on a sample of the labelled rows of ``docs``: ``max_rows`` of them at most, or so.
+    """Train on a sample of the labelled texts of ``docs``: ``max_rows`` of them at most, or one of each language.
 
-    Every language has the same quota (``max_rows`` by the number of languages): its texts are
-    drawn by hash at the rate that fills the quota, so a rare language is learnt from all its
-    rows. The draw does not depend on the order of the rows and equal texts are drawn together.
-    Of each text, up to ``per_row`` windows are taken from anywhere in it, some cut short so that
+    Every language has the same quota (``max_rows`` by the number of languages) and fills it with
+    the distinct texts of smallest hash, so a rare language is learnt from all its texts and one
+    of many copies as well. The draw depends neither on the order of the rows nor on how often a
+    text is repeated. Of each text, up to ``per_row`` windows are taken from anywhere in it, some cut short so that
     short texts are learnt too. Rows without text or label are left out; without any row there
     is no model (None).
     """
@@ -150,13 +150,15 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_row
                     out.append((data[at : at + size], own))
             yield pd.DataFrame(out, columns=["data", "lang"])
 
-    rows_of = {r.lang: r.n for r in some.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    if not rows_of:
-        return None
-    quota = max(1, max_rows // len(rows_of))
-    rate = F.create_map(*[F.lit(x) for own, n in sorted(rows_of.items()) for x in (own, min(1.0, quota / n))])
     hashed = some.withColumn("h", F.xxhash64("text"))
-    chosen = hashed.where(F.pmod("h", F.lit(1_000_003)) < rate[F.col("lang")] * 1_000_003).limit(4 * max_rows)
+    distinct = hashed.select("lang", "h").distinct()
+    n_langs = distinct.select("lang").distinct().count()
+    if not n_langs:
+        return None
+    # A task keeps a quota of each language before anything is gathered.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = distinct.withColumn("place", place).where(F.col("place") <= max(1, max_rows // n_langs)).drop("place")
+    chosen = hashed.join(F.broadcast(chosen) if n_langs <= max_rows else chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
     got = chosen.select("text", "lang", "h").mapInPandas(cut, "data binary, lang string").toPandas()
     got = got.sort_values(["lang", "data"], kind="stable")
     labels = sorted(got["lang"].unique())

@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 from .common import drop_staged, keyed_rows, small_batches, stage
 from .words import binaries, dictionary_words, numbers
 
-#: Texts that are cut into terms at a time, and documents of a block of the index at most.
+#: Texts that are cut into terms at a time.
 BATCH = 1000
 
+#: Documents and postings of a block of the index at most (a document of more postings is a block of its own).
+BLOCK_DOCS, BLOCK_POSTINGS = 1000, 500_000
+
 #: Documents that an item's first strata hold together at least, times k, and how many strata those are at most.
 FIRST_DOCS, FIRST_STRATA = 20, 16
 
@@ -292,15 +295,27 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     dealt = made.where("n > 0").withColumn("m", m).repartitionByRange(*order).sortWithinPartitions(*order).select("uid", "id", "m", "terms", "tfs")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        m, n_rows, n_posts = None, 0, 0
+
+        def block() -> pa.RecordBatch:
+            return _block(m, pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
         for b in batches:
-            ms = b.column("m").to_numpy()
-            ends = [0, *(np.flatnonzero(ms[1:] != ms[:-1]) + 1).tolist(), len(ms)]
-            for low, high in zip(ends[:-1], ends[1:], strict=True):
-                if high > low:
-                    yield _block(int(ms[low]), b.slice(low, high - low))
+            sizes = numbers(b.column("terms"), np.uint64)[1].tolist()
+            low = 0
+            for k, (own, size) in enumerate(zip(b.column("m").to_pylist(), sizes, strict=True)):
+                if n_rows and (own != m or n_rows == BLOCK_DOCS or n_posts + size > BLOCK_POSTINGS):
+                    held += [b.slice(low, k - low)] if k > low else []
+                    yield block()
+                    held, low, n_rows, n_posts = [], k, 0, 0
+                m, n_rows, n_posts = own, n_rows + 1, n_posts + size
+            held += [b.slice(low)] if b.num_rows > low else []
+        if n_rows:
+            yield block()
 
     id_type = made.schema["id"].dataType.simpleString()
-    with small_batches(docs.sparkSession, BATCH):
+    with small_batches(docs.sparkSession, BATCH // 5):
         blocks = stage(dealt.mapInArrow(pack, f"m long, n_docs int, ids array<{id_type}>, " + ", ".join(f"{c} binary" for c in PACKED)))
     drop_staged(made)
     return LexicalIndex(blocks, n_docs, n_terms)
