@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from veritide.operators import contracts, issue, log, models, report, score
+from veritide.operators import artifacts, contracts, issue, log, models, report, score
+from veritide.sources import commits
 
 
 def panel(spark, days=80):
@@ -51,41 +52,64 @@ def test_contract_reports_bad_documents(spark):
 
 def test_artifact_is_verified(spark, tmp_path):
     pairs = panel(spark, 40)
-    c = models.GbtCorrector(min_rows=10, trees=2, depth=2)
+    c = models.GbtCorrector(min_rows=10, trees=2, depth=2, regions=["north", "south"])
     model = c.fit(pairs.select("station", "run_date", "runtime", "lead_day", "variable", "target_date", "forecast_f", "window_end", "error_f"))
     path = str(tmp_path / "m")
-    issue.save_artifact(c, model, path, "2023-02-01", pairs)
-    assert issue.load_artifact(c, path, pairs, "2023-02-20")[0].getNumTrees == 2
-    with pytest.raises(ValueError, match="month"):
-        issue.load_artifact(c, path, pairs, "2023-03-01")
+    facts = issue.save_artifact(c, model, path, "2023-02-01", pairs)
+    assert issue.load_artifact(c, facts, pairs).getNumTrees == 2
     with pytest.raises(ValueError, match="stations"):
-        issue.load_artifact(c, path, pairs.where("station = 'KAAA'"), "2023-02-20")
-    df = issue.with_provenance(pairs.limit(1), "2023-02-01 00:00:00", window=30, min_pairs=15)
-    assert df.first().params == '{"min_pairs":15,"window":30}'
+        issue.load_artifact(c, facts, pairs.where("station = 'KAAA'"))
+    with pytest.raises(ValueError, match="region codes"):  # another list silently renumbers a feature
+        issue.load_artifact(models.GbtCorrector(regions=["south", "north"]), facts, pairs)
+    with pytest.raises(ValueError, match="changed"):
+        issue.load_artifact(c, {**facts, "model_hash": "0" * 64}, pairs)
+    with pytest.raises(commits.Conflict):  # one artifact for a refit date
+        issue.save_artifact(c, None, path, "2023-02-01", pairs)
+    none = issue.save_artifact(c, None, path, "2023-03-01", pairs)
+    assert none["model_path"] is None and issue.load_artifact(c, none, pairs) is None
+    assert artifacts.read_artifacts(spark, path).count() == 2
+
+
+def test_month_artifact_is_the_first_sealed_one(spark):
+    day = lambda m, d: dt.date(2023, m, d)
+    made = [(day(3, 1), "orphan"), (day(3, 2), "a"), (day(3, 5), "b"), (day(4, 3), "c"), (day(6, 9), "d")]
+    known = spark.createDataFrame([(d, None, None, None, None, h, None, None, None) for d, h in made], artifacts.ARTIFACTS)
+    seals = spark.createDataFrame([(d,) for d in (day(3, 2), day(3, 5), day(5, 1))], "run_date date")
+    runs = spark.createDataFrame([(d,) for d in (day(3, 1), day(3, 2), day(3, 3), day(3, 9), day(4, 2), day(4, 3), day(4, 4), day(5, 2), day(6, 9), day(6, 9))], "run_date date")
+    got = {r.run_date: r.model_hash for r in artifacts.month_artifacts(known, seals, runs).collect()}
+    assert got == {day(3, 1): "orphan", day(3, 2): "a", day(3, 3): "a", day(3, 9): "a", day(4, 2): None, day(4, 3): "c", day(4, 4): None, day(5, 2): None, day(6, 9): "d"}
+    assert artifacts.month_artifacts(known.limit(0), seals, runs).where("model_hash is not null").count() == 0
 
 
 def test_challenger_is_issued_as_the_walk_has_it(spark, tmp_path):
     pairs, path = panel(spark).cache(), str(tmp_path / "log")
     c = models.GbtCorrector(min_rows=20, trees=3, depth=2)
-    first = dt.datetime(2023, 3, 1, 13)  # the refit of March knows what had closed by its first run
-    closed = pairs.select(*models.GROUP, "run_date", "runtime", "target_date", "forecast_f", "window_end", "error_f")
-    model = c.fit(closed.where(F.col("window_end") < F.lit(first)))
-    at = str(tmp_path / "m")
-    issue.save_artifact(c, model, at, "2023-03-01", pairs)
-    got = issue.issue(spark, path, pairs, "2023-03-01", "2023-03-01 14:00:00", challenger=(c, at))
-    assert got["rows"] == 8
-    with pytest.raises(ValueError, match="not sealed"):
-        other = str(tmp_path / "o")
-        issue.save_artifact(c, model, other, "2023-03-03", pairs)
-        issue.issue(spark, path, pairs, "2023-03-04", "2023-03-04 14:00:00", challenger=(c, other))
-    issue.issue(spark, path, pairs, "2023-03-02", "2023-03-02 14:00:00", challenger=(c, at))
+    assert issue.issue(spark, path, pairs, "2023-03-01", "2023-03-01 14:00:00", challenger=c)["rows"] == 8
+    assert issue.issue(spark, path, pairs, "2023-03-02", "2023-03-02 14:00:00", challenger=c)["rows"] == 8
+    known = artifacts.read_artifacts(spark, path).collect()
+    assert [(str(r.retrained_on), r.n_train_rows) for r in known] == [("2023-03-01", 4 * 58)]
     rows, seals = log.read_log(spark, path)
     assert log.verify_rows(rows, seals).count() == 0
-    want = {(r.station, r.run_date, r.variable): r.forecast for r in models.walk_forward(pairs, c, "2023-03-01", "2023-03-02").collect()}
-    mine = {(r.station, r.run_date, r.variable): r.forecast_f for r in rows.where("source = 'challenger'").collect()}
-    assert mine == {k: pytest.approx(v) for k, v in want.items()} and len(mine) == 8
-    notes = {(str(r.run_date), r.source): r.params for r in spark.read.parquet(f"{path}/provenance").collect()}
-    assert len(notes) == 4 and '"trees":3' in notes["2023-03-02", "challenger"] and notes["2023-03-01", "baseline"] == '{"days":30,"min_pairs":15}'
+    walk = models.walk_forward(pairs, c, "2023-03-01", "2023-03-02").collect()
+    mine = {(r.station, r.run_date, r.variable): r for r in rows.where("source = 'challenger'").collect()}
+    assert len(mine) == 8 and set(mine) == {(r.station, r.run_date, r.variable) for r in walk}
+    for r in walk:
+        own = mine[r.station, r.run_date, r.variable]
+        assert own.forecast_f == pytest.approx(r.forecast) and (own.retrained_on, own.trained_through, own.fallback) == (r.retrained_on, r.trained_through, r.fallback)
+        assert '"trees":3' in own.params
+    assert {r.params for r in rows.where("source = 'baseline'").collect()} == {'{"days":30,"min_pairs":15,"model":"baseline"}'}
+    # a night that was never issued leaves an orphan: the next one refits
+    issue.governing(spark, path, c, pairs, "2023-03-20")
+    late = issue.issue(spark, str(tmp_path / "other"), pairs, "2023-03-10", "2023-03-12 14:00:00", challenger=c)
+    assert late == {"rows": 0, "late": 8} and log.read_seals(spark, str(tmp_path / "other")).count() == 0
+    assert issue.issue(spark, str(tmp_path / "other"), pairs, "2023-03-11", "2023-03-11 14:00:00", challenger=c)["rows"] == 8
+    assert artifacts.read_artifacts(spark, str(tmp_path / "other")).count() == 2
+    # too few pairs: a fallback artifact governs the month
+    few = models.GbtCorrector(min_rows=10_000)
+    for d in ("2023-02-01", "2023-02-02"):
+        issue.issue(spark, str(tmp_path / "few"), pairs, d, f"{d} 14:00:00", challenger=few)
+    assert artifacts.read_artifacts(spark, str(tmp_path / "few")).collect()[0].model_path is None
+    assert log.read_log(spark, str(tmp_path / "few"))[0].where("source = 'challenger' and fallback and forecast_f = raw_forecast_f and retrained_on = date'2023-02-01'").count() == 8
     pairs.unpersist()
 
 

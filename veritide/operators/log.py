@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,17 +12,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritide.functions.calendar import is_finite, micros
+from veritide.sources import commits
 
 #: Version of the encoding below; a change of it must change this.
-ENCODING = 2
+ENCODING = 3
 
 #: Leading hexadecimal digits of a row's hash that name its block: 4,096 blocks a date.
 BLOCK_DIGITS = 3
 
 KEY = ["station", "run_date", "lead_day", "variable", "source"]
 
-ROWS = "station string, run_date date, runtime timestamp_ntz, lead_day int, variable string, target_date date, source string, window_end timestamp_ntz, forecast_f double, raw_forecast_f double, issued_at timestamp_ntz"
-SEALS = "run_date date, version int, n_rows long, n_late long, issued_at timestamp_ntz, hash string, previous string, chain string"
+#: What a prediction was made with: the refit, the last close it knew, whether it fell back, the constants as JSON.
+PROVENANCE = "retrained_on date, trained_through timestamp_ntz, fallback boolean, params string"
+
+ROWS = f"station string, run_date date, runtime timestamp_ntz, lead_day int, variable string, target_date date, source string, window_end timestamp_ntz, forecast_f double, raw_forecast_f double, issued_at timestamp_ntz, {PROVENANCE}"
+SEALS = "run_date date, version int, n_rows long, n_late long, issued_at timestamp_ntz, hash string, previous string, chain string, attempt string"
+
+#: How a seal writes times.
+_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 #: The chain value before the first partition.
 GENESIS = "0" * 64
@@ -29,10 +37,11 @@ GENESIS = "0" * 64
 
 def canonical(df: DataFrame):
     """The text of a row that is hashed: key, times in microseconds, doubles in the
-    shortest decimal form that reads back as the same number."""
+    shortest decimal form that reads back as the same number, and its provenance if it has any columns of that."""
     bits = lambda c: F.coalesce(F.col(c).cast("double").cast("string"), F.lit("-"))
     times = [F.coalesce(micros(c).cast("string"), F.lit("-")) for c in ("runtime", "window_end", "issued_at")]
-    return F.concat_ws("|", *[F.col(c).cast("string") for c in KEY], F.col("target_date").cast("string"), *times, bits("forecast_f"), bits("raw_forecast_f"))
+    made = [F.coalesce((micros(c) if t == "timestamp_ntz" else F.col(c)).cast("string"), F.lit("-")) for c, t in (x.split() for x in PROVENANCE.split(", ")) if c in df.columns]
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in KEY], F.col("target_date").cast("string"), *times, bits("forecast_f"), bits("raw_forecast_f"), *made)
 
 
 def partition_hashes(rows: DataFrame) -> DataFrame:
@@ -53,12 +62,12 @@ def late_rows(rows: DataFrame, now: str) -> DataFrame:
     return rows.where(F.col("window_end") <= F.to_timestamp_ntz(F.lit(now)))
 
 
-def problems_of(rows: DataFrame, now: str, sources: list[str]) -> DataFrame:
-    """``problem, n`` of rows that may not be appended."""
-    at = F.to_timestamp_ntz(F.lit(now))
+def problems_of(rows: DataFrame, now, sources: list[str]) -> DataFrame:
+    """``problem, n`` of rows that may not be appended at ``now``, a time or the column that holds it."""
+    at = F.to_timestamp_ntz(F.lit(now)) if isinstance(now, str) else now
     rules = {
         "null key": F.greatest(*[F.col(c).isNull() for c in KEY]),
-        "null time": F.col("runtime").isNull() | F.col("window_end").isNull(),
+        "null time": F.col("runtime").isNull() | F.col("window_end").isNull() | at.isNull(),
         "value not finite": ~is_finite("forecast_f"),
         "unknown source": ~F.coalesce(F.col("source").isin(sources), F.lit(False)),
         "run after now": F.coalesce(F.col("runtime") > at, F.lit(False)),
@@ -70,50 +79,90 @@ def problems_of(rows: DataFrame, now: str, sources: list[str]) -> DataFrame:
     return out.unionByName(twice).where("n > 0")
 
 
-def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, seals) under ``path``; empty tables where nothing was written. Rows lie in a folder for each run date."""
-    def table(name: str, schema: str) -> DataFrame:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-            got = spark.read.schema(schema).parquet(f"{path}/{name}")
-            return got.select([c.split()[0] for c in schema.split(", ")])
-        return spark.createDataFrame([], schema)
-
-    return table("rows", ROWS), table("seals", SEALS)
+def read_seals(spark: SparkSession, path: str) -> DataFrame:
+    """The seals of a log, one for each run date."""
+    if not commits.numbers(spark, f"{path}/seals"):
+        return spark.createDataFrame([], SEALS)
+    return spark.read.schema(SEALS).option("timestampNTZFormat", _TIME).json(f"{path}/seals").select([c.split()[0] for c in SEALS.split(", ")])
 
 
-def append_partition(spark: SparkSession, path: str, run_date: str, rows: DataFrame, now: str, sources: list[str]) -> dict:
-    """Append the rows of ``run_date`` that are still open at ``now``, then seal them.
+def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, seals) under ``path``; empty tables where nothing was written.
 
-    Refuses a date that has rows or a seal or precedes the last seal, rows of another date, and
-    rows with problems; late rows are counted and left out. The seal is written last, so a crash
-    in between leaves unsealed rows that :func:`verify_log` reports.
+    Rows lie in a folder for each attempt and run date. Those of attempts that no seal names, of
+    a writer that stopped or was second, are not part of the log.
     """
-    old, seals = read_log(spark, path)
-    day = F.lit(run_date).cast("date")
-    if not rows.where(~F.col("run_date").eqNullSafe(day)).isEmpty():
-        raise ValueError("rows of another run date")
-    last = seals.agg(F.max_by(F.struct("run_date", "chain"), "run_date").alias("s")).first().s
-    if last is not None and str(last.run_date) >= run_date:
-        raise ValueError(f"{run_date} does not follow the last sealed date {last.run_date}")
-    if not old.where(F.col("run_date") == day).isEmpty():
-        raise ValueError(f"{run_date} has rows already")
-    bad = problems_of(rows, now, sources).collect()
+    seals = read_seals(spark, path)
+    if not commits.exists(spark, f"{path}/rows"):
+        return spark.createDataFrame([], ROWS), seals
+    found = spark.read.schema(f"{ROWS}, attempt string").parquet(f"{path}/rows")
+    named = found.join(seals.select("run_date", "attempt"), ["run_date", "attempt"], "left_semi")
+    return named.select([c.split()[0] for c in ROWS.split(", ")]), seals
+
+
+def append_dates(spark: SparkSession, path: str, rows: DataFrame, sources: list[str]) -> dict:
+    """Append the rows that are still open at their ``issued_at`` and seal their run dates, in one commit.
+
+    Refuses dates that are sealed or precede the last seal, a date with several issue times, and
+    rows with problems; late rows are counted and left out. A date of which all rows are late is
+    neither written nor sealed, and can still be issued in time.
+
+    Rows go to a folder of this attempt, are hashed from there and counted against what was
+    meant to be written. The file of seals, which names the attempt, is what makes them count: a
+    writer that stops before it has changed nothing and is run again; of two writers the second
+    gets a ``Conflict`` and leaves nothing. Columns of :data:`PROVENANCE` that ``rows`` lacks are
+    null.
+    """
+    taken = commits.numbers(spark, f"{path}/seals")
+    last = read_seals(spark, path).agg(F.max_by(F.struct("run_date", "chain"), "run_date").alias("s")).first().s
+    bad = problems_of(rows, F.col("issued_at"), sources).collect()
     if bad:
         raise ValueError("; ".join(f"{r.n} {r.problem}" for r in bad))
-    n_late = late_rows(rows, now).count()
-    at = F.to_timestamp_ntz(F.lit(now))
-    fresh = rows.where(F.col("window_end") > at).withColumn("issued_at", at)
-    fresh = fresh.select(*[F.col(c).cast(t) for c, t in (x.split() for x in ROWS.split(", "))])
-    fresh.write.mode("append").partitionBy("run_date").parquet(f"{path}/rows")
-    written = read_log(spark, path)[0].where(F.col("run_date") == day)  # one folder
-    got = partition_hashes(written).first()
-    n_rows, digest = (got.n_rows, got.hash) if got else (0, None)
-    previous = last.chain if last is not None else GENESIS
-    seal = spark.range(1).select(day.alias("run_date"), F.lit(ENCODING).alias("version"), F.lit(n_rows).cast("long").alias("n_rows"), F.lit(n_late).cast("long").alias("n_late"), at.alias("issued_at"), F.coalesce(F.lit(digest), F.sha2(F.lit(""), 256)).alias("hash"), F.lit(previous).alias("previous"))
-    seal = seal.withColumn("chain", chain("previous", "run_date", "hash"))
-    seal.write.mode("append").parquet(f"{path}/seals")
-    return {"rows": n_rows, "late": n_late}
+    late = F.count_if(F.col("window_end") <= F.col("issued_at"))
+    meant = rows.groupBy("run_date").agg(F.count("*").alias("n"), late.alias("late"), F.count_distinct("issued_at").alias("times"), F.max(F.date_format("issued_at", _TIME)).alias("issued_at"))
+    meant = {str(r.run_date): r for r in meant.collect()}  # a row for each date
+    early = min(meant, default=None)
+    if last is not None and early is not None and str(last.run_date) >= early:
+        raise ValueError(f"{early} does not follow the last sealed date {last.run_date}")
+    if any(r.times > 1 for r in meant.values()):
+        raise ValueError("a run date has several issue times")
+    result = {"rows": sum(r.n - r.late for r in meant.values()), "late": sum(r.late for r in meant.values())}
+    if not result["rows"]:
+        return result
+    fresh = rows.where(F.col("window_end") > F.col("issued_at"))
+    fresh = fresh.select(*[(F.col(c) if c in fresh.columns else F.lit(None)).cast(t).alias(c) for c, t in (x.split() for x in ROWS.split(", "))])
+    attempt = uuid.uuid4().hex
+    folder = f"{path}/rows/attempt={attempt}"
+    fresh.write.partitionBy("run_date").parquet(folder)
+    try:
+        found = {str(r.run_date): r for r in partition_hashes(spark.read.schema(ROWS).parquet(folder)).collect()}  # a row for each date
+        seals, chained = [], last.chain if last is not None else GENESIS
+        for day in sorted(d for d, r in meant.items() if r.n > r.late):
+            want = meant[day].n - meant[day].late
+            if day not in found or found[day].n_rows != want:
+                raise ValueError(f"{want} rows of {day} were to be written, {found[day].n_rows if day in found else 0} are there")
+            before, chained = chained, hashlib.sha256(f"{chained}:{day}:{found[day].hash}".encode()).hexdigest()
+            seals.append({"run_date": day, "version": ENCODING, "n_rows": want, "n_late": meant[day].late, "issued_at": meant[day].issued_at, "hash": found[day].hash, "previous": before, "chain": chained, "attempt": attempt})
+        commits.publish(spark, commits.numbered(f"{path}/seals", max(taken, default=0) + 1), commits.as_lines(seals))
+    except ValueError:
+        commits.delete(spark, folder)
+        raise
+    return result
+
+
+def append_partition(spark: SparkSession, path: str, run_date: str, rows: DataFrame, now: str, sources: list[str]) -> dict:
+    """:func:`append_dates` for the rows of one run date, issued at ``now``; rows of another date are refused."""
+    if not rows.where(~F.col("run_date").eqNullSafe(F.lit(run_date).cast("date"))).isEmpty():
+        raise ValueError("rows of another run date")
+    return append_dates(spark, path, rows.withColumn("issued_at", F.to_timestamp_ntz(F.lit(now))), sources)
+
+
+def unsealed_attempts(spark: SparkSession, path: str) -> DataFrame:
+    """``run_date, attempt`` of rows that no seal names: what a writer that stopped has left."""
+    if not commits.exists(spark, f"{path}/rows"):
+        return spark.createDataFrame([], "run_date date, attempt string")
+    found = spark.read.schema(f"{ROWS}, attempt string").parquet(f"{path}/rows").select("run_date", "attempt").distinct()
+    return found.join(read_seals(spark, path), ["run_date", "attempt"], "left_anti")
 
 
 def chain(previous: str, date: str, digest: str):
@@ -175,7 +224,7 @@ def verify_log(spark: SparkSession, path: str) -> DataFrame:
 
 def head_hash(spark: SparkSession, path: str) -> str:
     """The last chain value; published elsewhere, it shows a log that was cut off cleanly."""
-    got = read_log(spark, path)[1].agg(F.max_by("chain", "run_date")).first()[0]
+    got = read_seals(spark, path).agg(F.max_by("chain", "run_date")).first()[0]
     return got or GENESIS
 
 

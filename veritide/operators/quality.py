@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 from veritide.functions.calendar import days_between
 
+from veritide.sources import commits
+from veritide.staging import stage
+
+from .quantiles import exact_quantiles
+
 # --- gaps and completeness -------------------------------------------------
 
 
@@ -108,6 +113,28 @@ def dedupe(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(twice, list(keys), "left_anti").select(df.columns).unionByName(collapse_by_key(df.join(twice, list(keys), "left_semi"), keys))
 
 
+def dedupe_stored(spark, path: str, schema, keys: Sequence[str], date: str) -> dict:
+    """Repair a table of :func:`commits.commit_dates` in place; returns ``rows_before, rows_after, keys_collapsed``.
+
+    Only dates with repeated keys are written. The repaired rows are counted against what the dry
+    run has said before they take their place, all dates in one commit; values that conflict
+    are an error and leave the table as it is.
+    """
+    seen = max(commits.numbers(spark, f"{path}/commits"), default=0)
+    df = commits.read_dates(spark, path, schema, date, seen or None)
+    want = dedupe_report(df, keys).first()
+    if not want.keys_collapsed:
+        return {"rows_before": want.rows_before or 0, "rows_after": want.rows_after, "keys_collapsed": 0}
+    dates = duplicate_keys(df, keys).select(date).distinct()
+    rows = stage(dedupe(df.join(dates, date, "left_semi").select(df.columns), keys))
+    untouched = df.join(dates, date, "left_anti").count()
+    found = rows.agg(F.count("*").alias("n"), F.count_distinct(F.struct(*keys)).alias("k")).first()
+    if found.n != found.k or found.n + untouched != want.rows_after:
+        raise ValueError(f"{want.rows_after} rows were to stay, {found.n + untouched} would")
+    commits.commit_dates(rows, path, date, dates, seen)
+    return {"rows_before": want.rows_before, "rows_after": want.rows_after, "keys_collapsed": want.keys_collapsed}
+
+
 # --- crossings ---------------------------------------------------------------
 
 
@@ -184,24 +211,28 @@ def outliers(df: DataFrame, a: str, b: str, t: float = 10.0) -> DataFrame:
 def compare_sources(df: DataFrame, a: str, b: str, truth: str, sets: Sequence[Sequence[str]]) -> DataFrame:
     """``a`` against ``b`` and both against ``truth`` at several grains in one pass.
 
-    Rows, share with ``a``, mean, median, 5th and 95th percentile of a - b, mean of each less
-    the truth, and the share of ``a`` within 1 of it.
+    Rows, share with ``a``, mean, median, 5th and 95th percentile of a - b (exact, see
+    :func:`exact_quantiles`), mean of each less the truth, and the share of ``a`` within 1 of it.
     """
     diff, off = F.col(a) - F.col(b), F.col(a) - F.col(truth)
     dims = list(dict.fromkeys(d for s in sets for d in s))
     work = df.withColumns({"diff": diff, "off": off})
-    return work.groupingSets([list(s) for s in sets], *dims).agg(
+    means = work.groupingSets([list(s) for s in sets], *dims).agg(
         F.grouping_id().alias("grouping"),
         F.count("*").alias("n"),
         F.avg(F.when(F.col(a).isNotNull(), 1.0).otherwise(0.0)).alias("share_a"),
         F.avg("diff").alias("mean_diff"),
-        F.expr("percentile(diff, 0.5)").alias("median_diff"),
-        F.expr("percentile(diff, 0.05)").alias("p05_diff"),
-        F.expr("percentile(diff, 0.95)").alias("p95_diff"),
         F.avg("off").alias("mean_off_a"),
         F.avg(F.col(b) - F.col(truth)).alias("mean_off_b"),
         F.avg(F.when(F.col("off").isNotNull(), (F.abs("off") <= 1).cast("double"))).alias("within_1"),
     )
+    # How often each difference occurs at the finest grain; the coarser ones add those up.
+    fine = work.groupBy(*dims, "diff").agg(F.count("*").alias("m"))
+    counts = fine.groupingSets([[*s, "diff"] for s in sets], *dims, "diff").agg(F.expr("grouping_id() div 2").alias("grouping"), F.sum("m").alias("m"))
+    keys = ["grouping", *dims]
+    spread = exact_quantiles(counts, keys, "diff", {"median_diff": 0.5, "p05_diff": 0.05, "p95_diff": 0.95}, "m")
+    out = means.join(spread, [means[k].eqNullSafe(spread[k]) for k in keys])
+    return out.select(*[means[d] for d in dims], means["grouping"], "n", "share_a", "mean_diff", "median_diff", "p05_diff", "p95_diff", "mean_off_a", "mean_off_b", "within_1")
 
 
 def loso_mae(df: DataFrame, a: str, truth: str, station: str = "station", stratum: Sequence[str] = ("variable", "season"), by: Sequence[str] = ("variable",)) -> DataFrame:

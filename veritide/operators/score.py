@@ -98,16 +98,37 @@ def block_sums(rows: DataFrame, by: Sequence[str], reference: str = "raw_nbm") -
 SUMS = ["n", "error_sum", "abs_sum", "own_abs", "ref_abs"]
 
 
+def mixed(x):
+    """A 32-bit hash of 32-bit numbers (numpy or plain), in arithmetic that 64-bit SQL has too."""
+    for _ in range(2):
+        x = ((x ^ (x >> 16)) * 0x45D9F3B) & 0xFFFFFFFF
+    return x ^ (x >> 16)
+
+
+def slice_seed(name: str, seed: int) -> int:
+    """32 bits of the MD5 of a slice's key and the seed: what its draws depend on."""
+    return int(hashlib.md5(f"{name}/{seed}".encode()).hexdigest()[:8], 16)
+
+
 def resampled(blocks: np.ndarray, name: str, n_boot: int, seed: int) -> np.ndarray:
     """(n_boot, columns): column sums over as many blocks as there are, drawn with replacement.
 
-    Replicate k of the slice ``name`` has a counter-based generator of its own, so that it is the
-    same whatever else is drawn.
+    Draw j of replicate b takes the block hash(hash(slice, b), j) * m >> 32 of m: a multinomial
+    resample that does not depend on what else is drawn, and that :func:`bootstrap_sql` repeats.
+    Draws are counted to a weight for each replicate and block, and one product gives all sums.
     """
+    m = len(blocks)
     out = np.empty((n_boot, blocks.shape[1]))
-    for k in range(n_boot):
-        key = int.from_bytes(hashlib.md5(f"{seed}/{name}/{k}".encode()).digest(), "little")
-        out[k] = blocks[np.random.Generator(np.random.Philox(key=key)).integers(0, len(blocks), len(blocks))].sum(axis=0)
+    turns = mixed(np.uint64(slice_seed(name, seed)) ^ np.arange(n_boot, dtype=np.uint64))
+    step = max(1, 4_000_000 // m)
+    for at in range(0, n_boot, step):
+        part = turns[at : at + step]
+        weights = np.zeros(len(part) * m)
+        for low in range(0, m, 4_000_000):  # a slice of more blocks than that is drawn piece by piece
+            j = np.arange(low, min(m, low + 4_000_000), dtype=np.uint64)
+            place = (mixed(part[:, None] ^ j) * np.uint64(m)) >> np.uint64(32)
+            weights += np.bincount((place.astype(np.int64) + np.arange(len(part))[:, None] * m).ravel(), minlength=len(weights))
+        out[at : at + step] = weights.reshape(len(part), m) @ blocks
     return out
 
 
@@ -118,8 +139,7 @@ def block_intervals(blocks: np.ndarray, name: str, n_boot: int, seed: int, level
     n, errors, sizes, own, ref = resampled(blocks, name, n_boot, seed).T
     found = []
     for values in (errors / n, sizes / n, 1 - own[ref != 0] / ref[ref != 0]):
-        tail = 50 * (1 - level)
-        found.append(tuple(map(float, np.percentile(values, [tail, 100 - tail]))) if len(values) else (None, None))
+        found.append(percentiles(values, level))
     return found
 
 
@@ -165,22 +185,48 @@ def score(rows: DataFrame, by: Sequence[str] = (), reference: str = "raw_nbm", n
     return out.select(*keys, *order)
 
 
-def bootstrap_md5(sums: DataFrame, keys: Sequence[str], num: str, den: str, n_boot: int, level: float = 0.95) -> DataFrame:
-    """The interval of sum(num) / sum(den) in SQL alone: ``keys, lo, hi``.
+def bootstrap(sums: DataFrame, keys: Sequence[str], num: str, den: str, n_boot: int = 2000, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """``keys, n_blocks, lo, hi``: the interval of sum(num) / sum(den) over resampled blocks.
+
+    Blocks without ``den`` do not count; fewer than two, or replicates that are all zero in it,
+    have no interval.
+    """
+    keys = list(keys)
+    rows = sums.where(F.col(den).isNotNull()).select(*keys, "block_id", F.col(num).cast("double").alias("num"), F.col(den).cast("double").alias("den"))
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def of_slice(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        plain = [k.item() if hasattr(k, "item") else k for k in key]
+        blocks = pdf.sort_values("block_id")[["num", "den"]].fillna(0).to_numpy(float)
+        span = (None, None)
+        if len(blocks) > 1:
+            top, below = resampled(blocks, "/".join(map(str, plain)), n_boot, seed).T
+            span = percentiles(top[below != 0] / below[below != 0], level)
+        return pd.DataFrame([[*plain, len(blocks), *span]], columns=[*keys, "n_blocks", "lo", "hi"]).astype({"lo": "float64", "hi": "float64"})
+
+    out = rows.groupBy(*keys).applyInPandas(of_slice, f"{kinds}, n_blocks long, lo double, hi double")
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("lo", "hi")})
+
+
+def percentiles(values: np.ndarray, level: float) -> tuple:
+    """The interval that holds ``level`` of the values, linearly interpolated; nulls if there are none."""
+    tail = 50 * (1 - level)
+    return tuple(map(float, np.percentile(values, [tail, 100 - tail]))) if len(values) else (None, None)
+
+
+def bootstrap_sql(source: str, keys: Sequence[str], columns: Sequence[str], n_boot: int = 2000, seed: int = 1, prefix: str = "") -> str:
+    """DuckDB CTEs that repeat :func:`resampled`: table ``ra`` has the column sums of every slice and replicate.
 
-    Draw j of replicate b of a slice takes the block numbered md5(slice, b, j) modulo the number
-    of blocks, so any engine can repeat it.
+    ``source`` is a table with ``keys``, ``block_id`` and ``columns``; ``sz`` gets the number of blocks of each slice.
     """
-    numbered = sums.where(F.col(den).isNotNull()).select(*keys, (F.row_number().over(W.partitionBy(*keys).orderBy("block_id")) - 1).alias("i"), F.col(num).alias("num"), F.col(den).alias("den"))
-    sizes = numbered.groupBy(*keys).agg(F.count("*").alias("m")).where("m > 1")
-    draws = sizes.select(*keys, "m", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    draws = draws.select(*keys, "m", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("j"))
-    text = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], "b", "j")
-    place = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("m")
-    taken = draws.select(*keys, "b", place.cast("int").alias("i")).join(numbered, [*keys, "i"])
-    ratio = taken.groupBy(*keys, "b").agg((F.sum("num") / F.when(F.sum("den") != 0, F.sum("den"))).alias("ratio"))
-    at = lambda q: F.expr(f"percentile(ratio, {q})")
-    return ratio.groupBy(*keys).agg(at((1 - level) / 2).alias("lo"), at((1 + level) / 2).alias("hi"))
+    k, p = ", ".join(keys), prefix
+    mix = lambda name, x: f"{name}0 as (select * replace (xor({x}, {x} >> 16) * 73244475 & 4294967295 as {x}) from {{}}), {name}1 as (select * replace (xor({x}, {x} >> 16) * 73244475 & 4294967295 as {x}) from {name}0), {name}2 as (select * replace (xor({x}, {x} >> 16) as {x}) from {name}1)"
+    names = " || '/' || ".join(f"{c}::varchar" for c in keys)
+    return f"""{p}nb as (select *, row_number() over (partition by {k} order by block_id) - 1 as i from {source}),
+{p}sz as (select {k}, count(*) as m, ('0x' || substr(md5({names} || '/{seed}'), 1, 8))::bigint as s from {p}nb group by all having count(*) > 1),
+{p}tb as (select {k}, m, b, xor(s, b) as x from {p}sz, (select unnest(range({n_boot})) as b)), {mix(p + 'ta', 'x').format(p + 'tb')},
+{p}db as (select {k}, m, b, xor(x, j) as x from {p}ta2, lateral (select unnest(range(m)) as j)), {mix(p + 'da', 'x').format(p + 'db')},
+{p}ra as (select {k}, b, {', '.join(f'sum({c}) as {c}' for c in columns)} from (select {k}, b, (x * m) >> 32 as i from {p}da2) join {p}nb using ({k}, i) group by all)"""
 
 
 def as_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -49,9 +49,20 @@ def score_splits(spark, sf):
     return r6(score.score_splits(fx.fact(spark, sf), "1998-07-01"), "bias", "mae", "skill")
 
 
-@query(None)
+_SUMS = "count(*) as n, sum(error_f)::double as error_sum, sum(abs(error_f))::double as abs_sum, coalesce(sum(case when ref is not null and source <> 'raw_nbm' then abs(error_f) end), 0)::double as own_abs, coalesce(sum(case when ref is not null and source <> 'raw_nbm' then abs(ref) end), 0)::double as ref_abs"
+_INTERVALS = f""", bs as (select variable, lead_day, source, block_id, {_SUMS} from withref group by all), {score.bootstrap_sql('bs', ['variable', 'lead_day', 'source'], score.SUMS)},
+sc as (select variable, lead_day, source, {SCORE_COLS.format(ref='raw_nbm')} from withref group by variable, lead_day, source),
+ci as (select variable, lead_day, source, quantile_cont(error_sum / n, 0.025) as bias_lo, quantile_cont(error_sum / n, 0.975) as bias_hi, quantile_cont(abs_sum / n, 0.025) as mae_lo, quantile_cont(abs_sum / n, 0.975) as mae_hi,
+  quantile_cont(1 - own_abs / ref_abs, 0.025) filter (ref_abs <> 0) as skill_lo, quantile_cont(1 - own_abs / ref_abs, 0.975) filter (ref_abs <> 0) as skill_hi from ra group by all)
+select variable, lead_day, source, n, n_dates, n_blocks, bias, round(bias_lo, 6) as bias_lo, round(bias_hi, 6) as bias_hi, mae, round(mae_lo, 6) as mae_lo, round(mae_hi, 6) as mae_hi, skill,
+  round(case when source = 'raw_nbm' then 0 else skill_lo end, 6) as skill_lo, round(case when source = 'raw_nbm' then 0 else skill_hi end, 6) as skill_hi,
+  n_blocks < 21 as min_sample_flag, coalesce(bias_lo <= 0 and bias_hi >= 0, true) as no_detectable_bias from sc left join ci using (variable, lead_day, source)"""
+
+
+@query("with " + fx.FACT + _INTERVALS)
 def score_intervals(spark, sf):
-    return score.score(fx.fact(spark, sf), ["variable", "lead_day"])
+    got = score.score(fx.fact(spark, sf), ["variable", "lead_day"])
+    return r6(got, *[f"{k}{e}" for k in ("bias", "mae", "skill") for e in ("", "_lo", "_hi")])
 
 
 @query("with " + fx.FACT + " select station, source, block_id, count(*) as n, sum(error_f)::bigint as error_sum, sum(abs(error_f))::bigint as abs_sum, sum(case when ref is not null and source <> 'raw_nbm' then abs(error_f) end)::bigint as own_abs, sum(case when ref is not null and source <> 'raw_nbm' then abs(ref) end)::bigint as ref_abs from withref group by station, source, block_id")
@@ -59,41 +70,35 @@ def block_sums(spark, sf):
     return score.block_sums(score.prepare(fx.fact(spark, sf)), ["station"]).drop("n_dates")
 
 
-_MD5 = """, bs as (select variable, source, block_id, count(*) as n, sum(error_f)::bigint as error_sum from fact group by all),
-nb as (select *, row_number() over (partition by variable, source order by block_id) - 1 as i from bs),
-sz as (select variable, source, count(*) as m from nb group by all having count(*) > 1),
-dr as (select variable, source, b, ('0x' || substr(md5(variable || ':' || source || ':' || b || ':' || j), 1, 8))::bigint % m as i
-  from sz, lateral (select unnest(range(20)) as b), lateral (select unnest(range(m)) as j)),
-ra as (select variable, source, b, sum(error_sum) / sum(n)::double as ratio from dr join nb using (variable, source, i) group by all),
-ci as (select variable, source, quantile_cont(ratio, 0.025) as lo, quantile_cont(ratio, 0.975) as hi from ra group by all)"""
+_BOOT = ", bs as (select variable, source, block_id, count(*) as n, sum(error_f)::double as error_sum from fact group by all), " + score.bootstrap_sql("bs", ["variable", "source"], ["error_sum", "n"])
+_SPAN = ", ci as (select variable, source, quantile_cont(error_sum / n, 0.025) as lo, quantile_cont(error_sum / n, 0.975) as hi from ra group by all)"
 
 
-def _md5(spark, sf):
+def _boot(spark, sf):
     sums = score.block_sums(score.prepare(fx.fact(spark, sf)), ["variable"])
-    return sums, score.bootstrap_md5(sums, ["variable", "source"], "error_sum", "n", 20)
+    return score.bootstrap(sums, ["variable", "source"], "error_sum", "n")
 
 
-@query("with " + fx.FACT + _MD5 + " select variable, source, round(lo, 6) as lo, round(hi, 6) as hi from ci")
+@query("with " + fx.FACT + _BOOT + _SPAN + " select variable, source, m as n_blocks, round(lo, 6) as lo, round(hi, 6) as hi from ci join sz using (variable, source)")
 def bootstrap_md5(spark, sf):
-    return r6(_md5(spark, sf)[1], "lo", "hi")
+    """Intervals of the mean error from 2,000 resamples, of draws that start from an MD5 of the slice."""
+    return r6(_boot(spark, sf), "lo", "hi")
 
 
-_ROWS = _MD5.replace("bs as (select variable, source, block_id, count(*) as n, sum(error_f)::bigint as error_sum from fact group by all)", "bs as (select variable, source, row_number() over (partition by variable, source order by station, run_date, lead_day) as block_id, 1 as n, error_f as error_sum from fact)").replace("range(20)", "range(5)")
+_ROWS = ", bs as (select variable, source, row_number() over (partition by variable, source order by station, run_date, lead_day) as block_id, 1 as n, error_f as error_sum from fact), " + score.bootstrap_sql("bs", ["variable", "source"], ["error_sum", "n"], 200)
 
 
-@query("with " + fx.FACT + _ROWS + " select variable, source, round(lo, 6) as lo, round(hi, 6) as hi from ci")
+@query("with " + fx.FACT + _ROWS + _SPAN + " select variable, source, round(lo, 6) as lo, round(hi, 6) as hi from ci")
 def row_bootstrap(spark, sf):
     """Rows drawn one by one, to compare with draws of blocks."""
     rows = score.as_blocks(score.prepare(fx.fact(spark, sf)), ["variable", "source"], ["station", "run_date", "lead_day"])
-    return r6(score.bootstrap_md5(rows, ["variable", "source"], "error_sum", "n", 5), "lo", "hi")
+    return r6(score.bootstrap(rows, ["variable", "source"], "error_sum", "n", 200).drop("n_blocks"), "lo", "hi")
 
 
-@query("with " + fx.FACT + _MD5 + """ select variable, source, m as n_blocks, m < 21 as min_sample_flag, lo <= 0 and hi >= 0 as no_detectable_bias,
+@query("with " + fx.FACT + _BOOT + _SPAN + """ select variable, source, m as n_blocks, m < 21 as min_sample_flag, lo <= 0 and hi >= 0 as no_detectable_bias,
   case when m < 21 then 'too few days' when lo > 0 then 'positive' when hi < 0 then 'negative' else 'indistinguishable' end as verdict from ci join sz using (variable, source)""")
 def flags(spark, sf):
-    sums, ci = _md5(spark, sf)
-    n = sums.groupBy("variable", "source").agg(F.count("*").alias("n_blocks"))
-    out = n.join(ci, ["variable", "source"])
+    out = _boot(spark, sf)
     return out.select("variable", "source", "n_blocks", (F.col("n_blocks") < 21).alias("min_sample_flag"), ((F.col("lo") <= 0) & (F.col("hi") >= 0)).alias("no_detectable_bias"), score.verdict("lo", "hi", "n_blocks").alias("verdict"))
 
 

@@ -217,12 +217,12 @@ def stratified_sample(spark, sf):
     return quality.stratified_sample(c, "stratum", "c_custkey", 37).select("c_custkey", "stratum")
 
 
-@query("with e as (select concat('S', user_id % 9) as station, cast(ts as date) as day, count(*) as n_reports, count(distinct event_type) filter (event_type <> 'view' and user_id % 9 < 7) as n_groups from events where user_id % 9 <> 3 or ts < timestamp '2024-01-02' group by 1, 2), g as (select station, count(distinct case when n_reports > 0 then day end) as data_days, count(distinct case when n_groups >= 2 then day end) as group_days, count(distinct day) as days from e group by station) select station, data_days, group_days, days, case when data_days = 0 then 'no data' when data_days < 2 then 'too few days' when group_days < 2 then 'no six-hour groups' end as reason from g")
+@query("with e as (select concat('S', user_id % 9) as station, cast(ts as date) as day, count(*) as n_reports, count(distinct event_type) filter (event_type <> 'view' and user_id % 9 < 7) as n_groups from events where user_id % 9 <> 3 or ts < timestamp '2024-01-02' group by 1, 2), g as (select station, count(distinct case when n_reports > 0 then day end) as data_days, count(distinct case when n_groups >= 2 then day end) as group_days, count(distinct day) as days from e group by station) select station, data_days, group_days, days, case when data_days = 0 then 'no data' when data_days < 2 then 'too few days' when group_days < 2 then 'no six-hour groups' end as reason, concat('data ', data_days, '/', days, ' groups ', group_days, '/', days) as evidence from g")
 def classify_probe(spark, sf):
     e = fx.table(spark, sf, "events").where((F.col("user_id") % 9 != 3) | (F.col("ts") < F.lit("2024-01-02").cast("timestamp_ntz")))
     kind = F.when((F.col("event_type") != "view") & (F.col("user_id") % 9 < 7), F.col("event_type"))
     e = e.groupBy(F.concat(F.lit("S"), F.col("user_id") % 9).alias("station"), F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n_reports"), F.countDistinct(kind).alias("n_groups"))
-    return quality.classify_probe(e).drop("evidence")
+    return quality.classify_probe(e)
 
 
 # --- source comparison -----------------------------------------------------------------------

@@ -38,5 +38,5 @@ def query(sql: str | None, dates: Sequence[str] = ()):
 
 
 def load() -> None:
-    for name in ("scoring", "tables"):
+    for name in ("scoring", "tables", "records"):
         import_module(f"veritide.plans.{name}")

@@ -2,74 +2,48 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+from .commits import commit_dates, numbers, read_dates
 
 
-def replace_slice(new: DataFrame, path: str, slice_values: dict, date: str, lo: str, hi: str) -> None:
+def replace_slice(new: DataFrame, path: str, slice_values: dict, date: str, lo: str, hi: str) -> int:
     """Replace the rows of ``slice_values`` (column: value) and dates in [lo, hi] of a table by ``new``.
 
-    The table is partitioned by ``date``; untouched rows of the affected dates are read, put
-    beside the new ones and staged, then those dates alone are overwritten. A repeat gives the
-    same table. Rows of ``new`` outside the slice are an error. One writer at a time.
+    The table is read with :func:`read_dates`. Untouched rows of the affected dates are put beside
+    the new ones, and all dates change in one commit: a reader sees the old slice or the new one,
+    and so does a repeat after a crash. Rows of ``new`` outside the slice are an error; a second
+    writer that was faster is a ``Conflict``. Returns the number of the commit.
     """
     spark = new.sparkSession
     mine = F.lit(True)
     for c, v in slice_values.items():
         mine = mine & F.col(c).eqNullSafe(F.lit(v))
-    inside = mine & F.col(date).between(F.lit(lo).cast("date"), F.lit(hi).cast("date"))
-    if not new.where(~F.coalesce(inside, F.lit(False))).isEmpty():
+    span = F.col(date).between(F.lit(lo).cast("date"), F.lit(hi).cast("date"))
+    if not new.where(~F.coalesce(mine & span, F.lit(False))).isEmpty():
         raise ValueError("rows outside the slice")
-    rows = new
-    if exists(spark, path):
-        old = spark.read.schema(new.schema).parquet(path).where(F.col(date).between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
-        gone = old.where(inside).select(date).distinct().join(new.select(date).distinct(), date, "left_anti")
-        rows = old.where(~inside).unionByName(new)
-        emptied = [r[0] for r in gone.join(old.where(~inside).select(date).distinct(), date, "left_anti").collect()]  # dates of the slice
-    else:
-        emptied = []
-    _overwrite_dates(rows, path, date)
-    for d in emptied:
-        _delete(spark, f"{path}/{date}={d}")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _overwrite_dates(rows: DataFrame, path: str, date: str) -> None:
-    """Overwrite the dates of ``rows`` in a table, by way of a folder of its own beside it, since they are read from the table too."""
-    spark = rows.sparkSession
-    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
-    try:
-        rows.write.parquet(staged)
-        spark.read.schema(rows.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
-    finally:
-        _delete(spark, staged)
-
-
-def merge_rows(new: DataFrame, path: str, keys: list[str], date: str) -> None:
-    """Put ``new`` into a table that is partitioned by ``date``: a row replaces the one of the same keys and date.
+    seen = max(numbers(spark, f"{path}/commits"), default=0)
+    old = read_dates(spark, path, new.schema, date, seen or None).where(span)
+    touched = old.where(mine).select(date).unionByName(new.select(date)).distinct()
+    others = old.where(~F.coalesce(mine, F.lit(False))).join(touched, date, "left_semi")
+    return commit_dates(others.select(new.columns).unionByName(new), path, date, touched, seen)
+
+
+def merge_rows(new: DataFrame, path: str, keys: list[str], date: str) -> int:
+    """Put ``new`` into a table that is kept by ``date``: a row replaces the one of the same keys and date.
 
     Dates that ``new`` does not hold are neither read nor written; of rows of ``new`` that agree
-    in keys and date one stays. A repeat gives the same table. One writer at a time.
+    in keys and date one stays. A repeat gives the same table; all dates change in one commit. The
+    table is read with :func:`read_dates`. Returns the number of the commit.
     """
     spark = new.sparkSession
     new = new.dropDuplicates([*keys, date])
-    rows = new
-    if exists(spark, path):
-        old = spark.read.schema(new.schema).parquet(path).join(F.broadcast(new.select(date).distinct()), date, "left_semi")  # dates of a batch
-        same = [old[c].eqNullSafe(new[c]) for c in [*keys, date]]
-        rows = old.join(new, same, "left_anti").select(new.columns).unionByName(new)
-    _overwrite_dates(rows, path, date)
+    seen = max(numbers(spark, f"{path}/commits"), default=0)
+    touched = new.select(date).distinct()
+    old = read_dates(spark, path, new.schema, date, seen or None).join(touched, date, "left_semi")
+    same = [old[c].eqNullSafe(new[c]) for c in [*keys, date]]
+    return commit_dates(old.join(new, same, "left_anti").select(new.columns).unionByName(new), path, date, touched, seen)
 
 
 def merge_first_seen(old: DataFrame, new: DataFrame, keys: list[str], now: str, inside=None) -> DataFrame:

@@ -23,12 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged_path(spark: SparkSession) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; what is written there goes when the application ends."""
+    at = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(at)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder.getParent())
+    fs.deleteOnExit(folder)
+    return at
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a reader of it; cuts the lineage."""
-    at = staged_path(df.sparkSession)
+    """Write ``df`` once to the shared folder and return a reader of it; cuts the lineage. It goes when the application ends."""
+    spark = df.sparkSession
+    at = staged_path(spark)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
