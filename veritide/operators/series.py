@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,38 +69,40 @@ def ar_fit(df: DataFrame, group: Sequence[str], order: str, value: str, max_p: i
     return got.withColumn("best", best).select(*group, F.col("best")["p"].alias("p"), F.col("best")["phi"].alias("phi"), F.col("best")["sigma2"].alias("sigma2"), "mean")
 
 
-def flat_top(values: np.ndarray, n: int) -> float:
-    """The circular-bootstrap block length of Politis and White (2004, corrected 2009) from autocovariances 0..m."""
-    if values[0] <= 0:
-        return 1.0
-    rho = values / values[0]
-    run = max(5, int(np.ceil(np.sqrt(np.log10(n)))))
-    band = 2 * np.sqrt(np.log10(n) / n)
-    quiet = np.abs(rho[1:]) < band
-    m = next((k for k in range(len(quiet) - run + 1) if quiet[k : k + run].all()), None)
-    m = m if m is not None else int(np.max(np.flatnonzero(~quiet), initial=-1)) + 1
-    width = min(2 * max(m, 1), len(values) - 1)
-    k = np.arange(-width, width + 1)
-    t = np.abs(k) / width
-    weight = np.where(t <= 0.5, 1.0, 2 * (1 - t))
-    g = values[np.abs(k)]
-    spread, level = (weight * np.abs(k) * g).sum(), (weight * g).sum()
-    if level == 0:
-        return 1.0
-    best = (2 * spread**2 / (4 / 3 * level**2)) ** (1 / 3) * n ** (1 / 3)
-    return float(min(best, np.ceil(min(3 * np.sqrt(n), n / 3))))
+def flat_top(g, n):
+    """The circular-bootstrap block length of Politis and White (2004, corrected 2009), a column of
+    autocovariances 0.. (``g``, an array) and the length of the series (``n``).
+
+    The correlogram counts up to the lag from which a whole run of lags is quiet (within twice
+    log10(n) / n to the root); without such a run, up to the last lag that is not. A flat-top
+    kernel of twice that width weighs the sums. 1 for a series that is short, constant or has no
+    level; at most the lesser of 3 sqrt(n) and n / 3, rounded up.
+    """
+    zero, real = F.lit(0.0), lambda c: c.cast("double")
+    g = F.slice(g, F.lit(1), F.greatest(F.lit(2), F.least(F.size(g), (n - 1).cast("int"))))
+    lags = F.size(g) - 1
+    log_n = F.log10(real(n))
+    band = 2 * F.sqrt(log_n / n)
+    loud = F.transform(F.slice(g, F.lit(2), lags), lambda x: F.abs(x / F.get(g, F.lit(0))) >= band)
+    run = F.greatest(F.lit(5), F.ceil(F.sqrt(log_n)).cast("int"))
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(lags - run, F.lit(0))), lambda k: (k + run <= lags) & ~F.exists(F.slice(loud, k + 1, run), lambda x: x))
+    last = F.array_max(F.filter(F.sequence(F.lit(1), lags), lambda k: F.get(loud, k - 1)))
+    m = F.coalesce(F.get(starts, F.lit(0)), last, F.lit(0))
+    width = F.least(2 * F.greatest(m, F.lit(1)), lags)
+    weight = lambda k: F.when(2 * k <= width, F.lit(1.0)).otherwise(2 * (1 - k / width))
+    ks = F.sequence(F.lit(1), width)
+    total = lambda f: F.aggregate(F.transform(ks, f), zero, lambda x, y: x + y)
+    spread = 2 * total(lambda k: weight(k) * k * F.get(g, k))
+    level = F.get(g, F.lit(0)) + 2 * total(lambda k: weight(k) * F.get(g, k))
+    best = F.pow(2 * spread * spread / (F.lit(4.0) / 3 * level * level) * n, F.lit(1.0) / 3)
+    most = F.ceil(F.least(3 * F.sqrt(real(n)), n / 3)).cast("double")
+    return F.when((n <= 3) | (F.get(g, F.lit(0)) <= 0) | (level == 0), F.lit(1.0)).otherwise(F.least(best, most))
 
 
 def optimal_block(df: DataFrame, group: Sequence[str], order: str, value: str, lags: int = 40) -> DataFrame:
-    """``group, b``: the automatic block length of each series; only its autocovariances reach Python."""
+    """``group, b``: the automatic block length of each series (:func:`flat_top`), from its autocovariances up to ``lags``."""
     got = autocovariance(df, group, order, value, lags)
-    packed = got.select(*group, "n", F.array(*[f"g{k}" for k in range(lags + 1)]).alias("g"))
-
-    @F.pandas_udf("double")
-    def length(g: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([flat_top(np.asarray(a, float)[: max(2, min(len(a), int(m) - 1))], int(m)) if m > 3 else 1.0 for a, m in zip(g, n, strict=True)])
-
-    return packed.select(*group, length("g", "n").alias("b"))
+    return got.select(*group, flat_top(F.array(*[F.col(f"g{k}") for k in range(lags + 1)]), F.col("n")).alias("b"))
 
 
 def choose_block_days(estimates: DataFrame, a: str = "b_pooled", b: str = "b_station", cap: int = 14) -> DataFrame:

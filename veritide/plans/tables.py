@@ -308,9 +308,20 @@ def ar_fit(spark, sf):
     return got.select("variable", "p", F.round(F.col("sigma2") / 1e9, 3).alias("sigma2"), *phi)
 
 
-@query(None)
+_BLOCK = """, de as (select variable, run_date, value - avg(value) over (partition by variable) as d from po),
+ac as (select variable, lag, sum(x) as s from (select variable, k.lag, d * lag(d, k.lag) over (partition by variable, k.lag order by run_date) as x from de, (select unnest(range(41))::int as lag) k) group by all),
+g0 as (select variable, count(*) as n from de group by variable),
+g1 as (select variable, n, list(coalesce(s, 0) / n order by lag)[1:greatest(2, least(41, n - 1))] as g from ac join g0 using (variable) group by variable, n),
+g2 as (select *, len(g) - 1 as lags, greatest(5, ceil(sqrt(log10(n))))::int as run, list_transform(g[2:], lambda x: abs(x / g[1]) >= 2 * sqrt(log10(n) / n)) as loud from g1),
+g3 as (select *, coalesce(list_filter(range(0, lags - run + 1), lambda k: not list_bool_or(loud[k + 1:k + run]))[1], list_max(list_filter(range(1, lags + 1), lambda k: loud[k])), 0) as m from g2),
+g4 as (select *, least(2 * greatest(m, 1), lags) as width from g3),
+g5 as (select *, 2 * list_sum(list_transform(range(1, width + 1), lambda k: case when 2 * k <= width then 1.0::double else 2 * (1 - k / width::double) end * k * g[k + 1])) as spread,
+  g[1] + 2 * list_sum(list_transform(range(1, width + 1), lambda k: case when 2 * k <= width then 1.0::double else 2 * (1 - k / width::double) end * g[k + 1])) as level from g4)"""
+
+
+@query("with " + _SERIES + _BLOCK + " select variable, round(case when n <= 3 or g[1] <= 0 or level = 0 then 1.0 else least(pow(2 * spread * spread / (4.0::double / 3 * level * level) * n, 1.0::double / 3), ceil(least(3 * sqrt(n), n / 3.0))) end, 4) as b from g5")
 def optimal_block(spark, sf):
-    return series.optimal_block(_series(spark, sf), ["variable"], "run_date", "value", 20)
+    return series.optimal_block(_series(spark, sf), ["variable"], "run_date", "value").withColumn("b", F.round("b", 4))
 
 
 _EST = fx.PAIRS + ", es as (select station, greatest(1.0, abs(avg(error_f)) / 1e6) as b_pooled, count(*) / 500.0 as b_station from pairs where scorable group by station)"
