@@ -55,6 +55,21 @@ def test_edge_rows_and_small_blocks(spark, monkeypatch):
 def test_intervals_find_all_pairs():
     rng = np.random.default_rng(0)
     x = embeddings.unit_rows(np.repeat(rng.normal(size=(60, 8)), 10, axis=0) + rng.normal(size=(600, 8)) * 0.2)
-    i, j = embeddings.join_intervals(x, x, x, x, 0.95, True)
+    i, j = map(np.concatenate, zip(*embeddings.join_intervals(x, x, x, x, 0.95, True), strict=True))
     want = {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.95), strict=True) if a < b}
     assert set(zip(i, j, strict=True)) == want and len(i) == len(want)
+
+
+def test_a_dense_cluster_keeps_no_pairs():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    x = embeddings.unit_rows(np.ones((3000, 16)) + rng.normal(size=(3000, 16)) * 0.05)
+    assert (x[:50] @ x.T).min() > 0.95  # 4.5 million pairs, all linked
+    tracemalloc.start()
+    links, label = embeddings.folded([x], [np.ones(3000, np.int64)], [x], 0.95)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (links == 2999).all() and (label == 0).all() and most < 40e6
+    a, b = embeddings.folded([x[:1000], x[1000:]], [np.full(1000, 2), np.ones(2000, np.int64)], [x[:1000], x[1000:]], 0.95)
+    assert (a[:1000] == 2000).all() and (a[1000:] == 2000).all() and (b == 0).all()

@@ -18,6 +18,9 @@ GRID_DIMS, BOX_DIMS = 4, 12
 #: Least and most rows of a block, rows of the smallest interval that a task joins, children of a tree node.
 BLOCK_ROWS, MOST_ROWS, LEAF_ROWS, FAN = 2048, 32_768, 512, 8
 
+#: Bytes of a block's vectors in double precision at most, however long they are: a task holds two blocks and their copies.
+MOST_BYTES = 32 << 20
+
 #: Pairs that are summed in double precision at a time.
 STEP = 65_536
 
@@ -35,8 +38,8 @@ def _box_gap(lo_a, hi_a, lo_b, hi_b) -> float:
     return float(gap @ gap)
 
 
-def join_intervals(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, floor: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows of unit ``x`` and ``y`` with cosine ``floor`` or more (``same``: i < j).
+def join_intervals(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, floor: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows of unit ``x`` and ``y`` with cosine ``floor`` or more (``same``: i < j), ``STEP`` at a time at most.
 
     Both are in grid order; intervals are halved until they are small, and pairs of intervals
     whose boxes over the leading principal dimensions (``px``, ``py``) are further apart than
@@ -46,7 +49,6 @@ def join_intervals(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray,
     reach = 2 * (1 - floor) + 1e-9
     room = 1e-6 + 2.4e-7 * x.shape[1] if x.ndim == 2 else 0.0
     x32, y32 = x.astype(np.float32), y.astype(np.float32)
-    got_i, got_j = [], []
 
     def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         cos = np.einsum("ij,ij->i", x[i], y[j])
@@ -54,7 +56,7 @@ def join_intervals(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray,
             cos[k] = np.dot(x[i[k]], y[j[k]])
         return cos >= floor
 
-    def join(a: int, b: int, c: int, d: int) -> None:
+    def join(a: int, b: int, c: int, d: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if same and c < a:
             return
         if not (same and (a, b) == (c, d)):
@@ -67,17 +69,29 @@ def join_intervals(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray,
                 i, j = i[i < j], j[i < j]
             for at in range(0, len(i), STEP):
                 keep = linked(i[at : at + STEP], j[at : at + STEP])
-                got_i.append(i[at : at + STEP][keep])
-                got_j.append(j[at : at + STEP][keep])
+                if keep.any():
+                    yield i[at : at + STEP][keep], j[at : at + STEP][keep]
             return
         halves = lambda s, e: [(s, e)] if e - s <= LEAF_ROWS else [(s, (s + e) // 2), ((s + e) // 2, e)]
         for s, e in halves(a, b):
             for u, v in halves(c, d):
-                join(s, e, u, v)
+                yield from join(s, e, u, v)
+
+    yield from join(0, len(x), 0, len(y))
+
 
-    join(0, len(x), 0, len(y))
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(got_i), np.concatenate(got_j)) if got_i else (none, none)
+def folded(x: list[np.ndarray], ns: list[np.ndarray], p: list[np.ndarray], floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many vectors each row of one or two blocks is linked with (``ns``: those a row stands for), and the labels of
+    the groups. Pairs are counted as they come and never kept, so a dense cluster takes no more room than its rows."""
+    same, first = len(x) == 1, len(x[0])
+    n = np.concatenate(ns)
+    links, label = np.zeros(len(n), np.int64), np.arange(len(n))
+    for i, j in join_intervals(x[0], x[-1], p[0], p[-1], floor, same):
+        j = j if same else j + first
+        np.add.at(links, i, n[j])
+        np.add.at(links, j, n[i])
+        label_pairs(len(n), i, j, label)
+    return links, label
 
 
 def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
@@ -120,7 +134,7 @@ def _link_classes(classes: DataFrame, dim: int, floor: float) -> DataFrame:
             yield pd.DataFrame({"cell": list(at), "cid": pdf["cid"], "n": pdf["n"], "v": pdf["v"]})
 
     total = classes.count()
-    size = max(BLOCK_ROWS, min(MOST_ROWS, -(-total // 8)))
+    size = max(1, min(MOST_BYTES // (8 * dim), max(BLOCK_ROWS, min(MOST_ROWS, -(-total // 8)))))
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, rows, number = [], 0, 0
@@ -179,15 +193,10 @@ def _link_classes(classes: DataFrame, dim: int, floor: float) -> DataFrame:
             cids.append(np.frombuffer(row.cids, np.int64))
             ns.append(np.frombuffer(row.ns, np.int64))
             p.append(x[-1] @ axes)
-        same = len(x) == 1
-        i, j = join_intervals(x[0], x[-1], p[0], p[-1], floor, same)
-        if not same:
-            j = j + len(x[0])
-        cid, n = np.concatenate(cids), np.concatenate(ns)
-        links = np.bincount(i, n[j], len(cid)) + np.bincount(j, n[i], len(cid))
-        label = label_pairs(len(cid), i, j)
+        cid = np.concatenate(cids)
+        links, label = folded(x, ns, p, floor)
         hit = links > 0
-        return pd.DataFrame({"cid": cid[hit], "links": links[hit].astype(np.int64), "root": cid[label[hit]]})
+        return pd.DataFrame({"cid": cid[hit], "links": links[hit], "root": cid[label[hit]]})
 
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("seq")).join(packed.drop("lo", "hi"), "seq")
     return sides.groupBy("a", "b").applyInPandas(join, "cid long, links long, root long")
@@ -200,7 +209,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     side of the largest distance of linked unit vectors, on the leading principal axes, and cut
     into blocks; a tree of bounding boxes over the sequence is joined with itself from the root
     down, and pairs of nodes that are provably too far apart are skipped. A block has an eighth
-    of the classes, ``MOST_ROWS`` at most, since each is sent once for each block that it meets:
+    of the classes, ``MOST_ROWS`` and ``MOST_BYTES`` at most, since each is sent once for each block that it meets:
     where boxes exclude little, as on nearly isotropic vectors, that is the square of the number
     of blocks. ``n_links`` counts
     the other rows that a row is linked with, ``component`` is the smallest id that links reach.
