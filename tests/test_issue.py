@@ -127,3 +127,14 @@ def test_refits_match_a_fit_by_hand(spark):
     rows = pairs.where("run_date = date'2023-03-10'").select(*models.PREDICT_COLUMNS).withColumn("known_until", F.lit(cut))
     for r in c.predict(model, rows, closed).collect():
         assert got[r.station, r.run_date, r.variable].forecast == pytest.approx(r.forecast) and not r.fallback
+
+
+def test_a_scorecard_refuses_conflicting_raw_forecasts(spark, tmp_path):
+    pairs, path = panel(spark).cache(), str(tmp_path / "log")
+    issue.issue(spark, path, pairs, "2023-03-01", "2023-03-01 14:00:00")
+    rows, _ = log.read_log(spark, path)
+    other = rows.where("station = 'KAAA'").withColumns({"source": F.lit("challenger"), "raw_forecast_f": F.col("raw_forecast_f") + 1})
+    assert report.scorecard_rows(rows, pairs).count() == 8
+    with pytest.raises(ValueError, match="disagree"):
+        report.scorecard_rows(rows.unionByName(other), pairs)
+    pairs.unpersist()

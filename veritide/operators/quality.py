@@ -57,6 +57,16 @@ def over_threshold(gaps: DataFrame, stations: DataFrame, lo: str, hi: str, t: fl
     return totals.join(top, "station", "left")
 
 
+def completeness_wide(gaps: DataFrame, stations: DataFrame, lo: str, hi: str, reasons: Sequence[str]) -> DataFrame:
+    """A row for each station: its days, gap days and rate, its gaps by reason in a column each, and the dominant reason."""
+    inside = gaps.where(F.col("gap_date").between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
+    totals = completeness(gaps, stations, lo, hi).groupBy("station").agg(F.sum("expected_days").alias("expected_days"), F.sum("gap_days").alias("gap_days"))
+    wide = gap_reasons(inside, reasons=reasons)
+    out = totals.withColumn("gap_rate", F.col("gap_days") / F.col("expected_days")).join(wide, "station", "left").fillna(0, list(reasons))
+    most = F.array_max(F.array(*[F.struct(F.col(r).alias("n"), F.lit(-k).alias("place"), F.lit(r).alias("reason")) for k, r in enumerate(sorted(reasons))]))
+    return out.withColumn("dominant_reason", F.when(most["n"] > 0, most["reason"])).select("station", "expected_days", "gap_days", "gap_rate", *reasons, "dominant_reason")
+
+
 def freshness(df: DataFrame, ts: str, now: str, max_age: str) -> DataFrame:
     """``latest, fresh``: whether the newest row is within ``max_age`` of ``now``; an empty table is not fresh."""
     fresh = F.coalesce(F.col("latest") >= F.to_timestamp_ntz(F.lit(now)) - F.expr(f"interval {max_age}"), F.lit(False))

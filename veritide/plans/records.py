@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritide.functions.calendar import window
-from veritide.operators import artifacts, fact, log, models, quality, schema_check, windows
+from veritide.operators import artifacts, fact, log, models, quality, report, schema_check, windows
 from veritide.plans import fixtures as fx
 from veritide.plans import scoring
 from veritide.registry import query
@@ -35,6 +35,17 @@ def log_append(spark, sf):
     return log.partition_hashes(kept).join(seals.select("run_date", "n_late", "n_rows", "hash"), ["run_date", "n_rows", "hash"]).select("run_date", "n_rows", "n_late", "hash")
 
 
+_SPOILT = fx.PAIRS + """, lg as (select station, run_date, lead_day, variable, s.source, floor(forecast_f)::double + case when s.source = 'challenger' and day(run_date) = 7 then 1 else 0 end as raw_forecast_f from pairs, (values ('baseline'), ('challenger')) s(source))"""
+
+
+@query("with " + _SPOILT + " select station, run_date, lead_day, variable, count(distinct raw_forecast_f) as n from lg group by all having count(distinct raw_forecast_f) > 1", ("run_date",))
+def raw_conflicts(spark, sf):
+    """Keys whose sources disagree on the raw forecast they corrected: planted on some dates."""
+    p = fx.pairs(spark, sf).withColumn("source", F.explode(F.array(F.lit("baseline"), F.lit("challenger"))))
+    off = F.when((F.col("source") == "challenger") & (F.dayofmonth("run_date") == 7), 1).otherwise(0)
+    return report.raw_conflicts(p.select(*fact.KEY, "source", (F.floor("forecast_f") + off).cast("double").alias("raw_forecast_f")))
+
+
 # --- slices -----------------------------------------------------------------------------
 
 _MONTHS = "mo as (select o_orderstatus as status, cast(date_trunc('month', o_orderdate) as date) as month, o_orderpriority as priority, count(*) as n from orders group by all)"

@@ -377,7 +377,7 @@ def log_verify(spark, sf):
     seals = seals.where(F.col("run_date") < F.lit(last))  # the last date was never sealed
     order = F.dense_rank().over(W.orderBy("run_date"))
     days = rows.select("run_date").distinct().withColumn("g", order)
-    bad = rows.join(F.broadcast(days), "run_date")
+    bad = rows.join(days, "run_date")
     first = F.row_number().over(W.partitionBy("run_date").orderBy(*log.KEY))
     bad = bad.withColumn("k", first)
     bad = bad.withColumn("forecast_f", F.when((F.col("g") == 3) & (F.col("k") == 1), F.col("forecast_f") + 1).otherwise(F.col("forecast_f")))

@@ -9,6 +9,7 @@ from veritide.operators import contracts, geo, quality, score, series, windows
 from veritide.plans import fixtures as fx
 from veritide.registry import query
 from veritide.sources import sinks
+from veritide.staging import staged_path
 
 # --- windows ---------------------------------------------------------------------
 
@@ -133,6 +134,18 @@ def gap_reasons_pivot(spark, sf):
     return quality.gap_reasons(fx.gaps(spark, sf), reasons=["1", "2", "5"])
 
 
+@query(_CELLS + """, t as (select station, sum(expected_days)::bigint as expected_days, sum(gap_days)::bigint as gap_days from cells group by station),
+w as (select station, count(*) filter (reason = '1') as "1", count(*) filter (reason = '2') as "2", count(*) filter (reason = '5') as "5" from gaps where gap_date between date '""" + LO + "' and date '" + HI + """' group by station)
+select station, expected_days, gap_days, round(gap_days / expected_days::double, 6) as gap_rate, coalesce("1", 0) as "1", coalesce("2", 0) as "2", coalesce("5", 0) as "5",
+  case when greatest(coalesce("1", 0), coalesce("2", 0), coalesce("5", 0)) = 0 then null when "1" >= "2" and "1" >= "5" then '1' when "2" >= "5" then '2' else '5' end as dominant_reason from t left join w using (station)""")
+def completeness_wide(spark, sf):
+    """The wide completeness table as it is handed on: written as one CSV file and read back."""
+    got = quality.completeness_wide(fx.gaps(spark, sf), fx.stations(spark, sf), LO, HI, ["1", "2", "5"]).withColumn("gap_rate", F.round("gap_rate", 6))
+    path = staged_path(spark)
+    sinks.write_csv(got, path)
+    return spark.read.schema(got.schema).csv(path, header=True)
+
+
 @query("with " + fx.GAPS + " select reason, count(*) as n from gaps group by reason")
 def gap_reason_counts(spark, sf):
     return quality.gap_reasons(fx.gaps(spark, sf), by=())

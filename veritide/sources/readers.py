@@ -62,7 +62,7 @@ def read_hourly(spark: SparkSession, paths: list[str], stations: DataFrame) -> t
     raw = read_by_name(spark, paths, ["station", "valid", "tmpf", "metar"])
     known = stations.select("station", short_code("station").alias("code")).distinct()
     blank = lambda c: F.when(F.col(c) != "M", F.col(c))
-    rows = raw.withColumnRenamed("station", "code").join(F.broadcast(known), "code")
+    rows = raw.withColumnRenamed("station", "code").join(F.broadcast(known) if known.count() <= 100_000 else known, "code")
     rows = rows.select("station", F.to_timestamp_ntz("valid", F.lit("yyyy-MM-dd HH:mm")).alias("valid"), blank("tmpf").cast("double").alias("tmpf"), blank("metar").alias("metar"))
     got = rows.withColumns(remark_groups("metar"))
     gaps = None
