@@ -40,6 +40,14 @@ def scratch() -> Iterator[list[DataFrame]]:
             drop_staged(df)
 
 
+def hand_up(made: list[DataFrame], df: DataFrame) -> DataFrame:
+    """Take a staged ``df`` out of its scratch list ``made`` and leave it to the scratch around that one, if there is any."""
+    made[:] = [x for x in made if x is not df]
+    if len(_open) > 1:
+        _open[-2].append(df)
+    return df
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
     """Arrow batches of ``rows`` rows at most for the jobs that run within it: whole texts or shingle sets make large rows."""

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, drop_staged, stage
 
 #: Bytes of a window; filter widths; filters of each width; size of a byte's embedding.
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 8, 8
@@ -151,15 +151,20 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_row
             yield pd.DataFrame(out, columns=["data", "lang"])
 
     hashed = some.withColumn("h", F.xxhash64("text"))
-    distinct = hashed.select("lang", "h").distinct()
-    n_langs = distinct.select("lang").distinct().count()
+    distinct = stage(hashed.select("lang", "h").distinct())
+    sizes = distinct.groupBy("lang").agg(F.count("*").alias("n"))
+    n_langs = sizes.count()
     if not n_langs:
         return None
-    # A task keeps a quota of each language before anything is gathered.
+    quota = max(1, max_rows // n_langs)
+    # Only hashes below a bound that leaves some four quotas of a language, 64 at least, are gathered and ranked.
+    share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+    few = distinct.join(F.broadcast(sizes) if n_langs <= max_rows else sizes, "lang").where(share * F.col("n") <= 4 * quota + 64)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = distinct.withColumn("place", place).where(F.col("place") <= max(1, max_rows // n_langs)).drop("place")
+    chosen = few.withColumn("place", place).where(F.col("place") <= quota).select("lang", "h")
     chosen = hashed.join(F.broadcast(chosen) if n_langs <= max_rows else chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
     got = chosen.select("text", "lang", "h").mapInPandas(cut, "data binary, lang string").toPandas()
+    drop_staged(distinct)
     got = got.sort_values(["lang", "data"], kind="stable")
     labels = sorted(got["lang"].unique())
     x = np.zeros((len(got), WINDOW), np.uint8)
