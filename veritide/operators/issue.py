@@ -131,5 +131,5 @@ def governing(spark: SparkSession, path: str, corrector: GbtCorrector, pairs: Da
     through = known.agg(F.max("window_end").alias("trained_through")).select(text("trained_through")).first()[0]
     train = corrector.training(known)
     n = train.count()
-    model = corrector.fit_on(train) if n >= corrector.min_rows else None
+    model = corrector.fit_on(train, n) if n >= corrector.min_rows else None
     return model, save_artifact(corrector, model, path, run_date, pairs, cutoff.select(text("runtime")).first()[0], through, n)
