@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -81,3 +82,25 @@ def test_blocks_are_skipped_only_below_what_is_asked():
     assert len(lexical.score_block(block, q, np.array([-1]), 5)[0]) == 0
     heavy = lexical.Queries(q.uids, q.terms, q.item, q.term, np.array([1 << 40, 1 << 40]))  # beyond exact doubles
     assert lexical.score_block(block, heavy, np.array([0]), 1)[2].tolist() == [2 * one << 40]
+
+
+def test_scoring_a_block_takes_little_memory():
+    # every item reaches every document of a full block: 4,000 x 1,000 scores above 0, with ties
+    n_docs, n_items, k = 1000, 4000, 50
+    texts = pa.array([" ".join(["a", "b"] * (1 + d % 7) + [f"own{d}"]) for d in range(n_docs)])
+    hashes, tfs, each, _ = lexical.term_counts(texts)
+    uids = pa.array(range(n_docs), pa.int64())
+    batch = pa.RecordBatch.from_arrays([uids, uids, lexical.binaries(hashes, each), lexical.binaries(tfs, each)], ["uid", "id", "terms", "tfs"])
+    row = lexical._block(100, batch).to_pylist()[0]
+    block = lexical.Block(row, pa.array(row["ids"]))
+    asked = np.sort(lexical.term_counts(pa.array(["a b"]))[0])
+    q = lexical.Queries(np.arange(n_items), asked, np.tile(np.arange(n_items), 2), np.repeat([0, 1], n_items), np.full(2 * n_items, 10))
+    tracemalloc.start()
+    item, place, score = lexical.score_block(block, q, np.zeros(n_items, np.int64), k)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    order = sorted(range(n_docs), key=lambda d: (-(d % 7), d))[:k]
+    assert item.tolist() == [i for i in range(n_items) for _ in range(k)] and place.reshape(n_items, k).tolist() == [order] * n_items
+    tf = 1 + np.array(order) % 7
+    assert (score.reshape(n_items, k) == 20 * ((10**9 * tf) // (1000 * tf + 2000))).all()

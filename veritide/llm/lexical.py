@@ -31,6 +31,9 @@ FIRST_DOCS, FIRST_STRATA = 20, 16
 #: Pairs of an item and a term that are searched for, and so sent to all tasks, at a time.
 QUERY_TERMS = 200_000
 
+#: Cells of items and documents that are scored at a time, postings that are expanded for them at a time (a single list may be longer).
+CELLS, POSTINGS = 500_000, 250_000
+
 #: Scores below this are exact as doubles.
 EXACT = 1 << 53
 
@@ -144,7 +147,7 @@ def score_block(block: Block, q: Queries, least: np.ndarray, k: int) -> tuple[np
     items, item = np.unique(item, return_inverse=True)
     impact = block.impacts()[block.codes]
     # Dense scores of as many items at a time as fit a fixed size.
-    out, step = [], max(1, 4_000_000 // block.n_docs)
+    out, step = [], max(1, CELLS // block.n_docs)
     order = np.argsort(item, kind="stable")
     item, weight, own = item[order], weight[order], own[order]
     for low in range(0, len(items), step):
@@ -156,7 +159,7 @@ def score_block(block: Block, q: Queries, least: np.ndarray, k: int) -> tuple[np
             dense = np.zeros(some * block.n_docs, np.int64)
         # Postings in slices, so that what is expanded has a fixed size but for a single list.
         size = df[own[a:b]]
-        cuts = np.searchsorted(np.cumsum(size), np.arange(2_000_000, size.sum() + 2_000_000, 2_000_000)) if len(size) else []
+        cuts = np.searchsorted(np.cumsum(size), np.arange(POSTINGS, size.sum() + POSTINGS, POSTINGS)) if len(size) else []
         begin = a
         for end in [*(a + np.asarray(cuts, np.int64) + 1), b]:
             end = min(int(end), b)
@@ -173,6 +176,8 @@ def score_block(block: Block, q: Queries, least: np.ndarray, k: int) -> tuple[np
             begin = end
         scores = dense.astype(np.int64).reshape(some, block.n_docs)
         asked = np.maximum(least[items[low : low + some]], 1)
+        if block.n_docs > k:  # no more than the k best and their ties are sorted
+            asked = np.maximum(asked, np.partition(scores, block.n_docs - k, axis=1)[:, block.n_docs - k])
         hit_item, hit_place = np.nonzero(scores >= asked[:, None])
         hit = scores[hit_item, hit_place]
         best = np.lexsort((hit_place, -hit, hit_item))
@@ -206,7 +211,7 @@ class LexicalIndex:
                     df, most = block.counts(at)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), block.m)), pa.array(held), pa.array(df), pa.array(most)], ["m", "term", "df", "most"])
 
-        with small_batches(items.sparkSession, 16):
+        with small_batches(items.sparkSession, 1):  # a block takes megabytes
             found = self.blocks.drop("ids", "uids", "places").mapInArrow(lookup, "m long, term long, df long, most long")
             found = stage(found.groupBy("m", "term").agg(F.sum("df").alias("df"), F.max("most").alias("most")))
         weight = np.zeros(len(terms), np.int64)
@@ -234,7 +239,7 @@ class LexicalIndex:
                     yield pa.RecordBatch.from_arrays([pa.array(q.uids[item]), pa.array(score), pa.array(block.uids[place]), block.ids.take(pa.array(place))], ["item", "score", "uid", "id"])
 
         id_type = blocks.schema["ids"].dataType.elementType.simpleString()
-        with small_batches(blocks.sparkSession, 16):
+        with small_batches(blocks.sparkSession, 1):
             return stage(blocks.mapInArrow(run, f"item long, score long, uid long, id {id_type}"))
 
     def search(self, items: DataFrame, k: int = 50, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
