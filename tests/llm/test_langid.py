@@ -62,3 +62,10 @@ def test_copies_and_hot_texts_do_not_crowd_out_others(spark):
     assert got.labels == ["aa", "bb", "cc"]
     other = langid.fit(docs.orderBy("text").repartition(7), max_rows=60)
     assert all(np.array_equal(a, b) for a, b in zip(got.filters, other.filters, strict=True)) and np.array_equal(got.dense, other.dense)
+
+
+def test_network_runs_once_below_a_filter(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = langid.identify(docs, langid.fit(docs, max_rows=50)).where("lang_pred <> 'und' and score >= 0.5")
+    plan = kept.selectExpr("doc_id", "coalesce(lang, lang_pred) as lang")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

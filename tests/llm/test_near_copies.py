@@ -89,3 +89,36 @@ def test_texts_of_one_template_propose_no_pairs(spark):
 
     made = docs.selectExpr("doc_id as h", "doc_id as fp", "doc_id as root", "text").mapInPandas(sets, "h long, fp long, root long, hashes array<long>")
     assert near_copies._in_other_groups(near_copies.rare_shingles(made, 0.8), 64, 0.8, 20_000).count() <= 3
+
+
+def test_links_come_from_the_trees_of_fingerprints(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in rng.integers(0, 5000, 60)]
+    texts = [" ".join(base), *(" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    named = {r.h: r.text for r in docs.selectExpr("xxhash64(text) as h", "text").collect()}
+    sets = {h: near_copies.shingle_set(t) for h, t in named.items()}
+    prints = dict(zip(sets, simhash.prints_of(list(sets.values())), strict=True))
+    for radius in (4, 64):
+        links = [(r.u, r.v) for r in near_copies.near_copy_links(docs, radius=radius).collect()]
+        assert links and all(np.bitwise_count(prints[u] ^ prints[v]) <= radius and near_copies.similarity(sets[u], sets[v]) >= 0.8 for u, v in links)
+
+
+def test_repeats_do_not_set_near_copies_apart(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(1, " ".join([one] * 9 + [two])), (2, " ".join([one] + [two] * 9)), (3, two)]
+    assert plain_kept(rows)[0] == {1, 3}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.near_copy_dedup(docs).collect()) == [1, 3]
+
+
+def test_near_copies_share_a_leading_shingle():
+    rng = np.random.default_rng(5)
+    for n in [0, 1, 2, 4, 5, 9, 10, 100, 333]:
+        for _ in range(50):
+            every = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            common = np.sort(rng.permutation(every)[: n // 2])
+            held = rng.integers(1, 9, len(common))
+            a, b = (every[np.sort(rng.permutation(n)[: n - rng.integers(0, n // 9 + 1)])] for _ in range(2))
+            if near_copies.similarity(a, b) >= 0.8:
+                assert np.intersect1d(near_copies.prefix_of(a, common, held, 0.8), near_copies.prefix_of(b, common, held, 0.8)).size

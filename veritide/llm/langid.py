@@ -230,5 +230,6 @@ def identify(docs: DataFrame, model: ByteCnn | None, text_col: str = "text", lan
     def guess(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(predict(known.value, texts.tolist()), columns=["lang", "score"])
 
-    marked = docs.withColumn(lang_out, guess(column(docs, text_col)))
+    # not deterministic for the planner, which would else run the network twice below a filter on its result
+    marked = docs.withColumn(lang_out, guess.asNondeterministic()(column(docs, text_col)))
     return marked.withColumn(score_out, F.col(lang_out)["score"]).withColumn(lang_out, F.col(lang_out)["lang"])
