@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pandas as pd
 
 from veritide.llm import near_copies, simhash
 
@@ -122,3 +123,40 @@ def test_near_copies_share_a_leading_shingle():
             a, b = (every[np.sort(rng.permutation(n)[: n - rng.integers(0, n // 9 + 1)])] for _ in range(2))
             if near_copies.similarity(a, b) >= 0.8:
                 assert np.intersect1d(near_copies.prefix_of(a, common, held, 0.8), near_copies.prefix_of(b, common, held, 0.8)).size
+
+
+def proposed(monkeypatch, docs, **options):
+    """The links of ``docs``, and how many pairs the whole trees propose after the edges at the roots."""
+    found, whole = [], near_copies._in_other_groups
+    with monkeypatch.context() as m:
+        m.setattr(near_copies, "_in_other_groups", lambda *a: found.append(whole(*a).localCheckpoint()) or found[0])
+        return near_copies.near_copy_links(docs, **options), found[0].count()
+
+
+def test_passages_that_few_texts_hold_propose_no_pairs(spark, monkeypatch):
+    # four passages that a hundred texts each hold, of which a handful of texts tells nothing
+    monkeypatch.setattr(near_copies, "ORDER_TEXTS", 5)
+    texts = [" ".join([*(f"own{k}x{i}" for i in range(45)), *(f"p{k % 4}x{i}" for i in range(15))]) for k in range(400)]
+    links, pairs = proposed(monkeypatch, spark.createDataFrame([(t,) for t in texts], "text string"), radius=64)
+    assert links.count() == 0 and pairs <= 400
+
+
+def test_large_groups_are_joined_before_all_their_pairs_are_asked(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(200):
+        words = [f"w{i}" for i in range(400)]
+        for i in rng.permutation(400)[: rng.integers(2, 7)]:
+            words[i] = f"own{k}x{i}"
+        rows.append((k, " ".join(words)))
+    want, links = plain_kept(rows)
+    got, pairs = proposed(monkeypatch, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(want) == 200 - simhash.connected(got).count() and links > 10_000 and pairs <= 1000
+
+
+def test_a_pair_that_meets_in_many_shards_comes_once(monkeypatch):
+    monkeypatch.setattr(simhash, "FRONTIER", 1)
+    one = pd.DataFrame({"h": [1, 2, 3], "fp": [0, 1, 3], "root": [1, 2, 3], "size": 9, "place": 1, "tree": True, "ask": [False, True, True], "block": 0})
+    pdf = pd.concat([one.assign(key=k) for k in range(20)], ignore_index=True)
+    got = pd.concat(near_copies._shard_pairs(pdf, 26, 0.8))
+    assert sorted(got.itertuples(index=False, name=None)) == [(1, 2), (1, 3), (2, 3)]

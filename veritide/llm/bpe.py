@@ -266,7 +266,8 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c, joiner, out = codec(path), None, []
-        for pdf in batches:
+        # few rows at a time, whatever the size of the batches: the ids of their texts are lists of numbers here
+        for pdf in (pdf[at : at + 500] for pdf in batches for at in range(0, len(pdf), 500)):
             for uid, n, seq, own, head, ids, tail in pdf.itertuples(index=False):
                 if seq == 0:
                     joiner = Joiner(c)
