@@ -350,8 +350,10 @@ _COV = fx.PAIRS + ", cv as (select station as shape, cast(1 + lead_day * 7 as in
 
 
 def _coverage(spark, sf):
+    """Means of tenths, summed as whole numbers: one that meets a limit exactly may not hang on the order of rows."""
     p = fx.pairs(spark, sf).where("scorable")
-    return p.groupBy(F.col("station").alias("shape"), (1 + F.col("lead_day") * 7).cast("int").alias("n_blocks"), "variable").agg(F.avg(F.when(F.abs("error_f") < 15000000, 1.0).otherwise(0.9)).alias("coverage"))
+    tenths = F.sum(F.when(F.abs("error_f") < 15000000, 10).otherwise(9))
+    return p.groupBy(F.col("station").alias("shape"), (1 + F.col("lead_day") * 7).cast("int").alias("n_blocks"), "variable").agg((tenths / (10 * F.count("*"))).alias("coverage"))
 
 
 @query("with " + _COV + ", l as (select n_blocks, min(coverage) as low from cv group by 1), a as (select n_blocks, min(low) over (order by n_blocks rows between current row and unbounded following) as least from l) select min(n_blocks) as n_blocks from a where least >= 0.9 having min(n_blocks) is not null")
