@@ -161,12 +161,23 @@ def first_crossing(df: DataFrame, order: str, value: str, t: float, by: Sequence
 
 
 def first_stable(df: DataFrame, order: str, version: str, by: Sequence[str] = ()) -> DataFrame:
-    """The start of the last unbroken run of the newest version: where flips back and forth ended."""
-    w = W.partitionBy(*by).orderBy(order)
-    newest = F.last(version).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    same = df.withColumn("newest", newest).withColumn("same", (F.col(version) == F.col("newest")).cast("int"))
-    steady = same.withColumn("steady", F.min("same").over(w.rowsBetween(0, W.unboundedFollowing))).where("steady = 1")
-    return steady.groupBy(*by, F.col("newest").alias(version)).agg(F.min(order).alias("stable_from"))
+    """The start of the last unbroken run of the newest version: where flips back and forth ended.
+
+    A null version breaks a run, a null ``order`` comes last; of rows of one ``order`` the largest
+    version counts as the newest. The last row of each version settles the newest one and the row
+    before its run, so no row looks at those after it and no task holds a group.
+    """
+    names = [f"by{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, names, strict=True)], F.col(order).isNull().alias("late"), F.col(order).alias("at"), F.col(version).alias("of"))
+    lasts = rows.groupBy(*names, "of").agg(F.max("late").alias("late"), F.max("at").alias("at"))  # a row for each version of a group
+    place = F.struct("late", F.when(~F.col("late"), F.col("at")).alias("at"), "of")
+    back = W.partitionBy(*names).orderBy(place.desc())
+    ends = lasts.select(*[F.col(k).alias(f"end_{k}") for k in names], F.col("of").alias("newest"), F.row_number().over(back).alias("n"), F.lead(place).over(back).alias("broke")).where("n = 1 and newest is not null")
+    met = (F.col("of") == F.col("newest")) & (F.col("broke").isNull() | (place > F.col("broke")))
+    for k in names:
+        met &= F.col(k).eqNullSafe(F.col(f"end_{k}"))
+    steady = rows.join(ends, met).groupBy(*names, "newest").agg(F.min("at").alias("stable_from"))
+    return steady.select(*[F.col(k).alias(c) for c, k in zip(by, names, strict=True)], F.col("newest").alias(version), "stable_from")
 
 
 def coverage_by_date(df: DataFrame, date: str = "date", value: str = "value") -> DataFrame:
