@@ -138,3 +138,26 @@ def test_a_scorecard_refuses_conflicting_raw_forecasts(spark, tmp_path):
     with pytest.raises(ValueError, match="disagree"):
         report.scorecard_rows(rows.unionByName(other), pairs)
     pairs.unpersist()
+
+
+def test_refits_run_together_only_while_their_rows_fit(spark, monkeypatch):
+    """Large refits go one by one; columns that never vary or repeat a flag are not fitted on (11 of 31 are left)."""
+    pairs = panel(spark, 120).withColumns({"spread_f": F.col("forecast_f") % 3, "cycle_hour": F.lit(13)})
+    busy, most, widths = [], [], []
+    fit_on = models.GbtCorrector.fit_on
+
+    def watched(self, train, n):
+        busy.append(n)
+        most.append(list(busy))
+        try:
+            widths.append(len(train.first().features))
+            return fit_on(self, train, n)
+        finally:
+            busy.remove(n)
+
+    monkeypatch.setattr(models.GbtCorrector, "fit_on", watched)
+    monkeypatch.setattr(models, "ROWS_AT_A_TIME", 400, raising=False)
+    got = models.walk_forward(pairs, models.GbtCorrector(min_rows=100, trees=1, depth=1), "2023-01-01", "2023-04-30")
+    assert got.where("not fallback").count() == 4 * 89
+    assert len(most) == 3 and all(sum(b) <= 400 or len(b) == 1 for b in most)
+    assert set(widths) == {11}
